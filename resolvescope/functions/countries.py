@@ -7,6 +7,8 @@ rows whatever the data size, which is why it may be broadcast.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +18,18 @@ from resolvescope.functions.net import strip
 UNKNOWN = "***"
 
 
-def iso_table(spark: SparkSession) -> DataFrame:
-    locale = spark.sparkContext._jvm.java.util.Locale
-    english = locale.ENGLISH
+@lru_cache(maxsize=4)
+def _locale_rows(jvm) -> list[tuple[str, str, str]]:
+    locale = jvm.java.util.Locale
     rows = []
     for code in locale.getISOCountries():
-        place = locale.of("", code)
-        rows.append((code, place.getISO3Country(), place.getDisplayCountry(english)))
-    return spark.createDataFrame(rows, "alpha2 string, alpha3 string, name string")
+        place = locale("", code)
+        rows.append((code, place.getISO3Country(), place.getDisplayCountry(locale.ENGLISH)))
+    return rows
+
+
+def iso_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_locale_rows(spark.sparkContext._jvm), "alpha2 string, alpha3 string, name string")
 
 
 def _lookup(iso: DataFrame) -> DataFrame:

@@ -97,13 +97,16 @@ def is_v4_text(col: Column) -> Column:
     return col.rlike(V4_PATTERN)
 
 
-def v4_number(col: Column) -> Column:
-    """Dotted IPv4 text to its unsigned value; anything else is null."""
-    part = F.split(col, r"\.")
+def _from_octets(octets: Column) -> Column:
     value = F.lit(0).cast("bigint")
     for i in range(4):
-        value = value + F.get(part, F.lit(i)).cast("bigint") * (1 << (8 * (3 - i)))
-    return F.when(is_v4_text(col), value)
+        value = value + F.get(octets, F.lit(i)).cast("bigint") * (1 << (8 * (3 - i)))
+    return value
+
+
+def v4_number(col: Column) -> Column:
+    """Dotted IPv4 text to its unsigned value; anything else is null."""
+    return F.when(is_v4_text(col), _from_octets(F.split(col, r"\.")))
 
 
 def v4_text(number: Column) -> Column:
@@ -191,27 +194,22 @@ def with_ip_key(df: DataFrame, col: str = "ip", out: str = "ip", v6: bool = True
     ``v6=False`` for feeds that carry IPv4 only: the plan then has no Python stage.
     """
     names = key_names(out)
-    text = strip(F.col(col))
-    number = v4_number(text)
-    v4 = F.struct(
-        text.alias("ip"),
-        F.lit(4).cast("tinyint").alias("family"),
-        F.lit(0).cast("bigint").alias("hi"),
-        number.alias("lo"),
-    )
+    # The split text is a column of its own so that it is computed once per row, and "is it an
+    # address" stays one pattern match when a later filter is pushed below this projection.
+    text, octets = F.col("_text"), F.col("_octets")
+    split = df.withColumn("_text", strip(F.col(col))).withColumn("_octets", F.when(is_v4_text(text), F.split(text, r"\.")))
+    v4 = octets.isNotNull()
+    fields = {
+        "ip": F.when(v4, text),
+        "family": F.when(v4, F.lit(4).cast("tinyint")),
+        "hi": F.when(v4, F.lit(0).cast("bigint")),
+        "lo": F.when(v4, _from_octets(octets)),
+    }
     if v6:
-        key = F.when(number.isNotNull(), v4).otherwise(_parse_ip(F.when(text.contains(":"), text)))
-    else:
-        key = F.when(number.isNotNull(), v4)
-    keyed = df.withColumn("_key", key)
-    return keyed.withColumns(
-        {
-            out: F.col("_key.ip"),
-            names[0]: F.col("_key.family"),
-            names[1]: F.col("_key.hi"),
-            names[2]: F.col("_key.lo"),
-        }
-    ).drop("_key")
+        split = split.withColumn("_v6", _parse_ip(F.when(text.contains(":"), text)))
+        fields = {n: c.otherwise(F.col(f"_v6.{n}")) for n, c in fields.items()}
+    columns = dict(zip([out, *names], fields.values()))
+    return split.withColumns(columns).drop("_text", "_octets", "_v6")
 
 
 def key_names(out: str = "ip") -> list[str]:
