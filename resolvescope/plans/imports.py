@@ -30,6 +30,7 @@ from resolvescope.operators.merge import (
     stamp_now,
 )
 from resolvescope.operators.rows import latest_by, newest_first
+from resolvescope.session import materialise
 from resolvescope.sources.mapping import apply_mapping, ordered_modules
 
 Cut = Callable[[DataFrame], DataFrame]
@@ -596,14 +597,13 @@ def _with_duplicates(result: MergeResult, stage: DataFrame) -> MergeResult:
 
 
 def import_resolver_stage(
-    t, stage: DataFrame, modules: list[str] | None = None, force: bool = False, now: Column | None = None, cut: Cut | None = None
+    t, stage: DataFrame, modules: list[str] | None = None, force: bool = False, now: Column | None = None, cut: Cut = materialise
 ) -> ImportResult:
     """Merge cleaned resolver rows into the resolver relations, one report per module."""
     modules = modules or ["resolver", *ATTRIBUTES, "location", "protocol"]
     result = ImportResult()
-    unique = unique_rows(stage)
-    numbered = number_rows(unique, t.resolver, t.resolver_identity, "resolver_id")
-    numbered = cut(numbered) if cut else numbered
+    stage = cut(stage)
+    numbered = cut(number_rows(unique_rows(stage), t.resolver, t.resolver_identity, "resolver_id"))
     result.add("resolver", "resolver", lambda: _with_duplicates(merge_resolver(t.resolver, numbered, force, now), stage))
     result.add("identity", "resolver_identity", lambda: merge_resolver_identity(t.resolver_identity, numbered, force, now))
     result.add("verification", "resolver_verification", lambda: merge_verification(t.resolver_verification, numbered))
@@ -622,13 +622,13 @@ def import_resolver_stage(
 
 def import_resolvers(
     t, df: DataFrame, mapping, modules, source: str, verified: bool = False, force: bool = False,
-    iso: DataFrame | None = None, now: Column | None = None, v6: bool = True, cut: Cut | None = None,
+    iso: DataFrame | None = None, now: Column | None = None, v6: bool = True, cut: Cut = materialise,
 ) -> ImportResult:
     """Landed resolver rows end to end: mapping, cleaning, newest per address, merges. Nothing is
     written; a dry run evaluates only the reports.
 
-    All modules start from the numbered rows. ``cut`` (``DataFrame.checkpoint`` or a written
-    table) keeps them from being derived again for each module.
+    All modules start from the cleaned and the numbered rows; ``cut`` writes both once, so they
+    are not derived again for each module.
     """
     modules = ordered_modules("resolver", modules)
     mapped = apply_mapping(df, mapping, modules, kind="resolver")
@@ -639,14 +639,13 @@ def import_resolvers(
 
 
 def import_forwarder_stage(
-    t, stage: DataFrame, modules: list[str] | None = None, force: bool = False, now: Column | None = None, cut: Cut | None = None
+    t, stage: DataFrame, modules: list[str] | None = None, force: bool = False, now: Column | None = None, cut: Cut = materialise
 ) -> ImportResult:
     """Merge cleaned forwarder rows into the forwarder relations."""
     modules = modules or ["forwarder", *ATTRIBUTES, "location", "protocol", "upstream"]
     result = ImportResult()
-    unique = unique_rows(stage)
-    numbered = number_rows(unique, t.forwarder, t.forwarder_identity, "forwarder_id")
-    numbered = cut(numbered) if cut else numbered
+    stage = cut(stage)
+    numbered = cut(number_rows(unique_rows(stage), t.forwarder, t.forwarder_identity, "forwarder_id"))
     result.add("forwarder", "forwarder", lambda: _with_duplicates(merge_forwarder(t.forwarder, numbered, force, now), stage))
     ids = numbered.where("_fresh").select(
         F.col("forwarder_id").alias("id"), F.coalesce("last_update_ts", stamp_now(now)).alias("last_update_ts"),
@@ -675,7 +674,7 @@ def import_forwarder_stage(
 
 def import_forwarders(
     t, df: DataFrame, mapping, modules, source: str, force: bool = False, iso: DataFrame | None = None,
-    now: Column | None = None, v6: bool = True, cut: Cut | None = None,
+    now: Column | None = None, v6: bool = True, cut: Cut = materialise,
 ) -> ImportResult:
     """Landed forwarder rows end to end; see ``import_resolvers``."""
     modules = ordered_modules("forwarder", modules)

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     # Address timestamps are UTC throughout.
@@ -33,17 +34,31 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_ready(spark: SparkSession) -> SparkSession:
-    """Make sure a checkpoint folder is set.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
-    On a cluster the folder comes from ``spark.checkpoint.dir``; only a session without one
-    (tests, a laptop) gets a scratch folder.
+    Only a session without one (tests, a laptop) gets a scratch folder.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="resolvescope-ckpt-"))
-    return spark
+        named = context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="resolvescope-"))
+    return context.getCheckpointDir()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a frame that several steps read to the shared folder and continue from the files.
+
+    The lineage ends at a Parquet table, so a lost executor costs a re-read, later steps prune
+    columns, and joins see the real size. The table is removed when the session ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    location = jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(location)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def local_session(cores: int | str | None = None, app: str = "resolvescope") -> SparkSession:

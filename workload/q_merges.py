@@ -125,7 +125,7 @@ def _(t):
 
 
 @query("m22_import_resolvers_report", f"""
-  WITH x AS (SELECT resolver_id FROM st_all) SELECT 'input' AS module, NULL::BIGINT AS candidates, NULL::BIGINT AS inserted, (SELECT count(*) FROM orders) AS rows,
+  SELECT 'input' AS module, NULL::BIGINT AS candidates, NULL::BIGINT AS inserted, (SELECT count(*) FROM orders) AS rows,
    (SELECT count(*) FROM orders WHERE o_orderkey%37=0) AS invalid_ip
   UNION ALL SELECT 'resolver', (SELECT count(*) FROM st_stage), (SELECT count(*) FROM st_fresh), NULL, NULL
   UNION ALL SELECT 'asn', (SELECT count(DISTINCT resolver_id) FROM st_all WHERE asn IS NOT NULL),
