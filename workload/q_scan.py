@@ -150,7 +150,7 @@ def _(t):
 
 
 @query("p16_refresh_scan_resolvers", """SELECT ip, bool_or(is_public) AS is_public FROM
-   (SELECT ip, is_public FROM fx_resolver UNION ALL SELECT ipv4, is_public FROM (SELECT DISTINCT ON (ipv4) ipv4, is_public, last_update_ts FROM st_resolvers
+   (SELECT ip, is_public FROM fx_resolver UNION ALL SELECT ipv4, n.is_public FROM (SELECT DISTINCT ON (ipv4) ipv4, is_public, last_update_ts FROM st_resolvers
       ORDER BY ipv4, last_update_ts DESC, is_public) n LEFT JOIN fx_resolver r ON r.ip=n.ipv4 WHERE r.ip IS NULL OR n.last_update_ts>r.last_update_ts) GROUP BY 1""", EXTRA)
 def _(t):
     from workload.q_merges import Tables
