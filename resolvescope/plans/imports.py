@@ -706,8 +706,8 @@ def import_anycast_frames(
         result.add("asn", "anycast_asn", lambda: merge_anycast_asn(t.anycast_asn, with_metadata(asn, source, now)))
     if country_backend is not None:
         batch = with_metadata(country_backend, source, now)
-        result.add("country_backend", "anycast_country_backend", lambda: merge_backend(t.anycast_country_backend, batch, "country", force))
+        result.add("country_backend", "anycast_country_backend", lambda batch=batch: merge_backend(t.anycast_country_backend, batch, "country", force))
     if asn_backend is not None:
         batch = with_metadata(asn_backend, source, now)
-        result.add("asn_backend", "anycast_asn_backend", lambda: merge_backend(t.anycast_asn_backend, batch, "asn", force))
+        result.add("asn_backend", "anycast_asn_backend", lambda batch=batch: merge_backend(t.anycast_asn_backend, batch, "asn", force))
     return result

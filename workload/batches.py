@@ -19,7 +19,7 @@ def landed_resolvers(t: Fixtures) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     n = rip(c + 300)
     proto = F.when(k % 3 == 0, "udp, TCP").when(k % 3 == 1, "h2").otherwise("dot,,udp")
-    return t.raw("orders").select(
+    return t.spread("orders").select(
         F.when(k % 37 == 0, "bad").otherwise(F.concat(F.lit(" "), v4_text(n))).alias("resolver_ip"),
         F.when(k % 3 == 0, "Yes").when(k % 3 == 1, "no").otherwise("").alias("public"),
         F.when(k % 11 != 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("seen"),
@@ -50,7 +50,7 @@ def landed_forwarders(t: Fixtures) -> DataFrame:
         F.when(k % 4 == 0, rip(s * 3)).when(k % 4 == 1, F.lit(33554432).cast("bigint") + (s * 7927) % 16777216)
         .when(k % 4 == 2, F.lit(33554432).cast("bigint") + ((p + 500) * 7927) % 16777216)
     )
-    return t.raw("lineitem").select(
+    return t.spread("lineitem").select(
         v4_text(ip).alias("ip"),
         (F.col("l_quantity") > 25).cast("string").alias("is_public"),
         F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("last_update_ts"),
@@ -69,7 +69,7 @@ FORWARDER_MODULES = "asn,location,protocol,upstream"
 
 def landed_qmin(t: Fixtures) -> DataFrame:
     k = F.col("o_orderkey")
-    return t.raw("orders").select(
+    return t.spread("orders").select(
         F.when(k % 41 == 0, "bad").otherwise(v4_text(rip(F.col("o_custkey") + 200))).alias("resolver_ip"),
         F.when(k % 4 == 0, "0").when(k % 4 == 1, "1.0").when(k % 4 == 2, "2").otherwise("Yes").alias("qmin"),
         F.when(k % 3 != 0, F.concat((k % 20).cast("string"), F.lit(".0"))).alias("max_minimise_count"),
@@ -135,7 +135,7 @@ def dnssec_batch(t: Fixtures) -> DataFrame:
 
 def ptr_batch(t: Fixtures) -> DataFrame:
     k = F.col("o_orderkey")
-    return t.raw("orders").select(
+    return t.spread("orders").select(
         v4_text(rip(F.col("o_custkey") + 200)).alias("resolver_ip"),
         F.when(k % 9 == 0, " ").otherwise(F.concat(F.lit("PTR-"), (k % 30).cast("string"), F.lit(".Example.com."))).alias("domain"),
     )
@@ -143,7 +143,7 @@ def ptr_batch(t: Fixtures) -> DataFrame:
 
 def svcb_batch(t: Fixtures) -> DataFrame:
     k = F.col("o_orderkey")
-    return t.raw("orders").select(
+    return t.spread("orders").select(
         v4_text(rip(F.col("o_custkey") + 200)).alias("resolver_ip"),
         F.concat(F.lit("svc-"), (k % 12).cast("string"), F.lit(".example.com")).alias("domain"),
         F.when(k % 3 == 0, F.array(F.lit("h2"), F.lit("h3"))).when(k % 3 == 1, F.array(F.lit("dot"), F.lit(" "))).alias("alpn"),

@@ -78,6 +78,14 @@ class Fixtures:
         naive = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
+    def spread(self, name: str, rows: DataFrame | None = None) -> DataFrame:
+        """A table (or rows made from it) that comes as fewer files than there are cores, spread
+        over the cores; larger tables are already split and are left as they are."""
+        df = self.raw(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        rows = df if rows is None else rows
+        return rows.repartition(cores) if len(df.inputFiles()) < cores else rows
+
     # ---- resolvers -------------------------------------------------------------------
 
     @cached_property
@@ -422,7 +430,7 @@ class Fixtures:
             F.when(F.col("l_returnflag") == "R", "udp").when(F.col("l_returnflag") == "A", "tcp").alias("protocol"),
             F.when(order % 29 != 0, F.col("l_shipdate")).alias("timestamp_request"),
         )
-        out = nums
+        out = self.spread("lineitem", nums)
         for name in ("queried", "replying", "backend"):
             label = "backend_resolver" if name == "backend" else f"{name}_ip"
             n = F.col(name)

@@ -400,7 +400,7 @@ def lookups(t):
         F.lit('","data":{"answers":[{"type":"PTR","name":"1.in-addr.arpa","answer":"Host-'), (K % 40).cast("string"), F.lit('.example.com."}]}},"SVCB":{"status":"NOERROR","data":{"resolver":"'), ip,
         F.lit(':53","answers":[{"type":"SVCB","target":"svc-'), (K % 12).cast("string"), F.lit('.example.com.","svcparams":{"alpn":["h2","h3"],"port":443,"dohpath":"/d'), (K % 3).cast("string"), F.lit('"}}]}}}}'),
     )
-    return readers.lookup_rows(t.raw("orders").select(F.parse_json(text).alias("row")))
+    return readers.lookup_rows(t.spread("orders").select(F.parse_json(text).alias("row")))
 
 
 _LIP = v4(rip("(o_custkey+200)"))

@@ -18,7 +18,7 @@ def printable(df: DataFrame) -> DataFrame:
     """Timestamps and dates as text, so both engines print them alike."""
     formats = {"timestamp": "yyyy-MM-dd HH:mm:ss", "date": "yyyy-MM-dd"}
     return df.select(*[
-        F.date_format(f.name, formats[f.dataType.typeName()]).alias(f.name) if f.dataType.typeName() in formats else F.col(f.name)
+        F.date_format(f.name, formats[f.dataType.typeName()]).alias(f.name) if f.dataType.typeName() in formats else F.col(f"`{f.name}`")
         for f in df.schema
     ])
 
