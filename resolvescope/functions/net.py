@@ -23,7 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WHITESPACE = " \t\n\r\x0b\x0c"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 V4_PATTERN = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
-V4_PREFIX_PATTERN = rf"^({OCTET}(?:\.{OCTET}){{3}})(?:/([0-9]|[12][0-9]|3[0-2]))?$"
+V4_PREFIX_PATTERN = rf"^{OCTET}(?:\.{OCTET}){{3}}(?:/(?:[0-9]|[12][0-9]|3[0-2]))?$"
 
 IP_SCHEMA = (
     T.StructType()
@@ -64,7 +64,6 @@ NOT_GLOBAL = (
     "2001::/23",
     "2001:db8::/32",
     "2002::/16",
-    "3fff::/20",
     "fc00::/7",
     "fe80::/10",
 )
@@ -220,37 +219,26 @@ def key_names(out: str = "ip") -> list[str]:
 def with_prefix_key(df: DataFrame, col: str = "prefix", out: str = "prefix", v6: bool = True) -> DataFrame:
     """Canonical prefix text in ``out`` (host bits cleared, bare address = host route) with
     ``family, masklen, net_hi, net_lo``; text that is not a prefix gives nulls."""
-    text = strip(F.col(col))
-    simple = text.rlike(V4_PREFIX_PATTERN)
-    address = v4_number(F.regexp_extract(text, V4_PREFIX_PATTERN, 1))
-    length_text = F.regexp_extract(text, V4_PREFIX_PATTERN, 2)
-    length = F.when(length_text == "", F.lit(32)).otherwise(length_text.cast("int"))
-    network = _shl(_shr(address, 32 - length), 32 - length)
-    v4 = F.struct(
-        F.concat(v4_text(network), F.lit("/"), length.cast("string")).alias("prefix"),
-        F.lit(4).cast("tinyint").alias("family"),
-        length.alias("masklen"),
-        F.lit(0).cast("bigint").alias("hi"),
-        network.alias("lo"),
-    )
+    text, parts, length, network = (F.col(n) for n in ("_text", "_parts", "_length", "_network"))
+    # One column per parsing step: each is computed once per row, however many fields use it.
+    split = df.withColumn("_text", strip(F.col(col)))
+    split = split.withColumn("_parts", F.when(text.rlike(V4_PREFIX_PATTERN), F.split(text, "[./]")))
+    split = split.withColumn("_length", F.when(parts.isNotNull(), F.coalesce(F.get(parts, F.lit(4)).cast("int"), F.lit(32))))
+    split = split.withColumn("_network", _shl(_shr(_from_octets(parts), 32 - length), 32 - length))
+    v4 = parts.isNotNull()
+    fields = {
+        "prefix": F.when(v4, F.concat(v4_text(network), F.lit("/"), length.cast("string"))),
+        "family": F.when(v4, F.lit(4).cast("tinyint")),
+        "masklen": F.when(v4, length),
+        "hi": F.when(v4, F.lit(0).cast("bigint")),
+        "lo": F.when(v4, network),
+    }
     if v6:
-        key = F.when(simple, v4).otherwise(_parse_prefix(F.when(~simple & (text != ""), text)))
-    else:
-        key = F.when(simple, v4)
+        split = split.withColumn("_other", _parse_prefix(F.when(parts.isNull() & (text != ""), text)))
+        fields = {n: c.otherwise(F.col(f"_other.{n}")) for n, c in fields.items()}
     lead = "" if out == "prefix" else f"{out}_"
-    return (
-        df.withColumn("_key", key)
-        .withColumns(
-            {
-                out: F.col("_key.prefix"),
-                f"{lead}family": F.col("_key.family"),
-                f"{lead}masklen": F.col("_key.masklen"),
-                f"{lead}net_hi": F.col("_key.hi"),
-                f"{lead}net_lo": F.col("_key.lo"),
-            }
-        )
-        .drop("_key")
-    )
+    columns = dict(zip([out, f"{lead}family", f"{lead}masklen", f"{lead}net_hi", f"{lead}net_lo"], fields.values()))
+    return split.withColumns(columns).drop("_text", "_parts", "_length", "_network", "_other")
 
 
 def canonical_prefix(df: DataFrame, col: str, v6: bool = True) -> DataFrame:

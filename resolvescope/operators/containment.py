@@ -22,21 +22,19 @@ NET_KEY = ["family", "masklen", "net_hi", "net_lo"]
 
 
 def mask_lengths(prefixes: DataFrame) -> DataFrame:
-    """(family, lens): at most two rows, holding at most 33 and 129 lengths."""
-    return (
-        prefixes.where(F.col("masklen").isNotNull())
-        .groupBy("family")
-        .agg(F.array_sort(F.collect_set(F.col("masklen").cast("int"))).alias("lens"))
-    )
+    """One row, one struct (v4, v6): the lengths that occur, at most 33 and 129 of them."""
+    seen = lambda family: F.array_sort(F.collect_set(F.when(F.col("family") == family, F.col("masklen").cast("int"))))
+    return prefixes.agg(F.struct(seen(4).alias("v4"), seen(6).alias("v6")).alias("lens"))
 
 
 def expand_networks(ips: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Each address row repeated once per mask length of its family, with the network key.
 
-    The broadcast side is the two-row length table, bounded by the address format.
+    The lengths come in as a scalar subquery, so there is no join and nothing on the driver.
     """
-    lengths = F.broadcast(mask_lengths(prefixes))
-    expanded = ips.join(lengths, "family").withColumn("masklen", F.explode("lens")).drop("lens")
+    lens = ips.withColumn("_lens", mask_lengths(prefixes).scalar())
+    own = F.when(F.col("family") == 4, F.col("_lens.v4")).when(F.col("family") == 6, F.col("_lens.v6"))
+    expanded = lens.withColumn("masklen", F.explode(own)).drop("_lens")
     net_hi, net_lo = masked(F.col("family"), F.col("ip_hi"), F.col("ip_lo"), F.col("masklen"))
     return expanded.withColumns({"net_hi": net_hi, "net_lo": net_lo})
 

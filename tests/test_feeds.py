@@ -67,13 +67,13 @@ def test_exports(spark, tmp_path):
 
 def test_second_closed_rule_counts_all_rows_unless_strict(spark):
     side = "null as {0}_asn, null as {0}_prefix, null as {0}_org, null as {0}_country"
-    sides = ", ".join(side.format(s) for s in ("queried_ip", "replying_ip", "backend_resolver"))
+    sides = [c for s in ("queried_ip", "replying_ip", "backend_resolver") for c in side.format(s).split(", ")]
     base = spark.createDataFrame([
         ("Forwarder", "1.0.0.1", "1.0.0.9", "1.0.0.7"),  # replying address was never queried, so the second rule alone picks 1.0.0.7
         ("Transparent Forwarder", "1.0.0.3", "1.0.0.8", "1.0.0.6"),
         ("Transparent Forwarder", "1.0.0.4", "1.0.0.1", None),
     ], "resolver_type string, queried_ip string, replying_ip string, backend_resolver string")
-    rows = base.selectExpr("*", sides, "timestamp'2020-01-01' as timestamp_request", "'udp' as protocol")
+    rows = base.selectExpr("*", *sides, "timestamp'2020-01-01' as timestamp_request", "'udp' as protocol")
     for s in ("queried_ip", "replying_ip", "backend_resolver"):
         rows = readers.with_ip_key(rows, s, out=s, v6=False)
         for a in ("prefix", "org", "country"):

@@ -10,7 +10,10 @@ from resolvescope.functions.net import address_order, with_ip_key
 from resolvescope.plans import imports as m
 
 OLD, MID, NEW = (dt.datetime(2020, 1, d) for d in (1, 10, 20))
-NOW = F.lit("2030-01-01").cast("timestamp")
+
+
+def now():
+    return F.lit("2030-01-01").cast("timestamp")
 
 
 def frame(spark, table, rows):
@@ -26,7 +29,7 @@ def attribute_rows(spark, rows):
 def test_attribute_policy(spark, force):
     current = frame(spark, "resolver_asn", [{"resolver_id": i, "asn": 1, "last_update_ts": MID} for i in range(1, 6)])
     batch = attribute_rows(spark, [(1, 1, OLD), (2, 9, OLD), (3, 1, NEW), (4, 9, None), (6, 7, None), (7, None, NEW)])
-    result = m.merge_attribute(current, batch, ["asn"], force=force, now=NOW)
+    result = m.merge_attribute(current, batch, ["asn"], force=force, now=now())
     got = {r.resolver_id: (r.asn, r.last_update_ts) for r in result.table.collect()}
     later = dt.datetime(2030, 1, 1)
     assert got == {
@@ -44,8 +47,8 @@ def test_attribute_policy(spark, force):
 def test_merging_twice_changes_nothing(spark):
     current = frame(spark, "resolver_asn", [{"resolver_id": 1, "asn": 1, "last_update_ts": MID}])
     batch = attribute_rows(spark, [(1, 5, NEW), (2, 6, NEW), (2, 7, NEW)])
-    once = m.merge_attribute(current, batch, ["asn"], now=NOW)
-    twice = m.merge_attribute(once.table, batch.repartition(3, "asn"), ["asn"], now=NOW)
+    once = m.merge_attribute(current, batch, ["asn"], now=now())
+    twice = m.merge_attribute(once.table, batch.repartition(3, "asn"), ["asn"], now=now())
     assert sorted(once.table.collect()) == sorted(twice.table.collect())
     assert twice.report.first().updated == 0
 
@@ -70,7 +73,7 @@ def test_qmin_stamp_never_goes_back(spark):
 def test_import_resolvers_end_to_end(spark):
     landed = spark.createDataFrame(
         [("1.1.1.1", "yes", "a"), ("1.1.1.1", "no", "b"), ("2001:DB8::1", "no", ""), ("oops", "yes", "c")], "addr string, open string, src string")
-    result = m.import_resolvers(Catalog(spark, "/nonexistent"), landed, "ip:addr,is_public:open,source:src", "resolver", "list", verified=True, now=NOW)
+    result = m.import_resolvers(Catalog(spark, "/nonexistent"), landed, "ip:addr,is_public:open,source:src", "resolver", "list", verified=True, now=now())
     rows = {r.ip: (r.resolver_id, r.is_public, r.source) for r in result.table("resolver").collect()}
     assert rows == {"1.1.1.1": (1, True, "a"), "2001:db8::1": (2, False, "list")}
     report = {r.module: r for r in result.report().collect()}
@@ -102,7 +105,7 @@ def test_versions_and_stream(spark, tmp_path):
     inbox, root = tmp_path / "in", str(tmp_path / "tables")
     for i, line in enumerate(("1.1.1.1", "1.1.1.2")):
         spark.createDataFrame([(line,)], "ip string").coalesce(1).write.mode("append").json(str(inbox))
-    job = lambda t, batch: m.import_resolvers(t, batch, "ip:ip", "resolver", "list", now=NOW)
+    job = lambda t, batch: m.import_resolvers(t, batch, "ip:ip", "resolver", "list", now=now())
     query = merge_stream(spark.readStream.schema("ip string").option("maxFilesPerTrigger", 1).json(str(inbox)), root, str(tmp_path / "ck"), job)
     query.awaitTermination()
     assert {r.ip for r in open_catalog(spark, root).resolver.collect()} == {"1.1.1.1", "1.1.1.2"}

@@ -60,7 +60,7 @@ def test_prefix_keys_match_the_standard_library(spark):
 
 def test_global_addresses(spark):
     texts = ["8.8.8.8", "10.1.1.1", "100.64.0.1", "192.0.0.9", "192.0.0.8", "224.0.0.1", "240.0.0.1", "2606:4700::1", "2001:db8::1",
-             "fe80::1", "2001:4:112::1", "2001:1::1", "2001:1::3", "::ffff:8.8.8.8", "::ffff:10.0.0.1", "3fff::1", "64:ff9b:1::1", "2002::1"]
+             "fe80::1", "2001:4:112::1", "2001:1::1", "2001:1::3", "::ffff:8.8.8.8", "::ffff:10.0.0.1", "64:ff9b:1::1", "2002::1"]
     df = net.with_ip_key(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
     got = {r.t: r.g for r in df.select("t", net.is_global(F.col("family"), F.col("ip_hi"), F.col("ip_lo")).alias("g")).collect()}
     assert got == {t: ipaddress.ip_address(t).is_global for t in texts}
