@@ -391,7 +391,7 @@ def spoofing_rows(df: DataFrame, source: str, iso: DataFrame | None = None, now:
     if missing:
         raise ValueError(f"spoofing rows lack columns: {', '.join(sorted(missing))}")
     none = F.lit(None)
-    keyed = with_prefix_key(df, "prefix", v6=v6).where(F.col("prefix").isNotNull())
+    keyed = with_prefix_key(df, "prefix", v6=v6).where(F.col("family").isNotNull())
     rows = with_metadata(keyed, source, now).select(
         "prefix", "family", "masklen", "net_hi", "net_lo", F.col("nat").try_cast("boolean").alias("nat"),
         F.col("privatespoof").cast("string").alias("privatespoof"), F.col("routedspoof").cast("string").alias("routedspoof"),

@@ -53,7 +53,7 @@ def high_confidence(census: DataFrame) -> DataFrame:
 def census_prefixes(census: DataFrame, v6: bool = False) -> DataFrame:
     """Distinct high-confidence prefixes with their keys."""
     rows = high_confidence(census).select("prefix").distinct()
-    return with_prefix_key(rows, v6=v6).where(F.col("prefix").isNotNull()).dropDuplicates(["prefix"])
+    return with_prefix_key(rows, v6=v6).where(F.col("family").isNotNull()).dropDuplicates(["prefix"])
 
 
 def mark_anycast(scan: DataFrame, prefixes: DataFrame, columns: tuple[str, ...] = ("queried_ip", "replying_ip")) -> DataFrame:
