@@ -394,8 +394,8 @@ def _domain_scope(summary: DataFrame, limit: int | None) -> DataFrame:
     return rows if limit is None else page(rows, [F.col("family"), F.col("resolver_ip")], 1, limit, by=["domain"]).drop("rank")
 
 
-def domain_summary(t, limit: int | None = 1000) -> DataFrame:
-    """Per domain over its resolvers (the reference form looks at the first 1000 of each)."""
+def domain_summary(t, limit: int | None = None) -> DataFrame:
+    """Per domain over its resolvers; ``limit`` looks at the first rows of each domain only."""
     rows = _domain_scope(resolver_summary(t), limit)
     single = F.count_distinct("resolver_dnssec_validates")
     measured = F.count("resolver_qmin")
