@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resolvescope.llm import simhash, token_counts, toxicity, url_filters
+from resolvescope.llm import decontamination, mixing, simhash, token_counts, toxicity, url_filters
 from resolvescope.llm.common import read_table, text_of
 
 URL_RULES = [
@@ -23,6 +23,27 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+MIX_WEIGHTS = {
+    ("core",): 2.0, ("extended",): 1.0,
+    ("core", "en"): 5.0, ("core", "de"): 2.0, ("core", "es"): 1.5, ("core", "fr"): 1.5,
+    ("core", "en", "src0"): 3.0,
+}
+"""Target weights by domain, language and source; what is not named weighs 1."""
+
+
+def domain_of_source() -> Column:
+    """Sources of one digit are core, all others (and none) extended."""
+    return F.when(F.col("source").rlike("^src[0-9]$"), "core").otherwise("extended")
+
+
+def documents_mixture(docs: DataFrame) -> DataFrame:
+    return mixing.mix(docs, domain_of_source, MIX_WEIGHTS, most_epochs=4, seed=42)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_mixture(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, vocabulary()).drop("text")
@@ -32,6 +53,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.withColumn("identity", F.round(F.col("n_equal") / F.col("n_tokens"), 4))
+
+
 def noncommercial_urls(pages: DataFrame) -> DataFrame:
     """The listed URLs of the query: pages that carry a non-commercial licence notice."""
     listed = pages.where(text_of("html").contains("CC BY-NC"))
@@ -71,8 +97,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op7_decontamination": op7_decontamination,
     "op9_url_filters": op9_url_filters,
     "op10_simhash": op10_simhash,
 }
