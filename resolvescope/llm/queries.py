@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resolvescope.llm import decontamination, mixing, simhash, token_counts, toxicity, url_filters
+from resolvescope.llm import decontamination, license_scans, mixing, simhash, token_counts, toxicity, url_filters
 from resolvescope.llm.common import read_table, text_of
 
 URL_RULES = [
@@ -58,6 +58,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("identity", F.round(F.col("n_equal") / F.col("n_tokens"), 4))
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scans.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def noncommercial_urls(pages: DataFrame) -> DataFrame:
     """The listed URLs of the query: pages that carry a non-commercial licence notice."""
     listed = pages.where(text_of("html").contains("CC BY-NC"))
@@ -101,10 +105,12 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
+    "op8_license_scans": op8_license_scans,
     "op9_url_filters": op9_url_filters,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES = {
+    "op8_license_scans": license_scans.scan_sql(),
     "op9_url_filters": OP9_SQL,
 }
