@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resolvescope.llm import decontamination, license_scans, mixing, simhash, token_counts, toxicity, url_filters
+from resolvescope.llm import decontamination, html_extraction, license_scans, mixing, simhash, token_counts, toxicity, url_filters, warc
 from resolvescope.llm.common import read_table, text_of
 
 URL_RULES = [
@@ -23,6 +23,31 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read_table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = """
+WITH payloads AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS digest FROM pages
+), digits AS (
+    SELECT *, unnest(range(32)) AS i FROM (SELECT DISTINCT digest FROM payloads)
+), bits AS (
+    SELECT digest, i, ((('0x' || substr(digest || '0', (5 * i) // 4 + 1, 3))::BIGINT >> (7 - (5 * i) % 4)) & 31)::INT AS five FROM digits
+), named AS (
+    SELECT digest, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', five + 1, 1), '' ORDER BY i) AS payload_digest FROM bits GROUP BY digest
+), firsts AS (
+    SELECT digest, max(page_id) AS first FROM payloads GROUP BY digest
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM payloads JOIN named USING (digest) JOIN firsts USING (digest)
+"""
+
+
 MIX_WEIGHTS = {
     ("core",): 2.0, ("extended",): 1.0,
     ("core", "en"): 5.0, ("core", "de"): 2.0, ("core", "es"): 1.5, ("core", "fr"): 1.5,
@@ -101,6 +126,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op6_toxicity": op6_toxicity,
@@ -111,6 +138,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_warc": OP2_SQL,
     "op8_license_scans": license_scans.scan_sql(),
     "op9_url_filters": OP9_SQL,
 }
