@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resolvescope.llm import decontamination, html_extraction, license_scans, mixing, simhash, token_counts, toxicity, url_filters, warc
+from resolvescope.llm import decontamination, html_extraction, license_scans, mixing, nearest, simhash, token_counts, toxicity, url_filters, warc
 from resolvescope.llm.common import read_table, text_of
 
 URL_RULES = [
@@ -74,6 +74,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocabulary()).drop("text")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -130,6 +134,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
+    "op5_nearest": op5_nearest,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_license_scans": op8_license_scans,
