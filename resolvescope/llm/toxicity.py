@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ SAMPLE = 24_000
 """Most labelled rows that training reads, about; with fewer, all are read."""
 
 PER_SHARD = 4_000
-"""Rows that one task learns from, about; the shards' weights are averaged."""
+"""Rows of one shard, about, which a task learns from at a time; the shards' weights are averaged."""
 
 PASSES = 5
 
@@ -125,28 +124,27 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         usable = usable.where(F.pmod("_order", F.lit(1 << 32)) < int(sample / known * (1 << 32)))
     rows = docs.join(F.broadcast(usable), docs[doc_id] == F.col("_id")).select("_order", "_label", word_hashes(text_of(text)).alias("_words"))
     shards = max(1, round(min(known, sample) / PER_SHARD))
-    dealt = rows.repartitionByRange(shards, "_order").sortWithinPartitions("_order")
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
-        for batch in batches:
-            at, row = coordinates(batch)
-            truth = batch.column("_label").to_numpy()
-            both = np.unique(row << BITS | at)
-            ends = np.searchsorted(both >> BITS, np.arange(len(truth) + 1))
-            for i, y in enumerate(truth):
-                own = (both[ends[i]:ends[i + 1]] & ((1 << BITS) - 1)).astype(np.int32)
-                examples.append((np.append(own, np.int32(1 << BITS)), float(y)))
+    rows = rows.withColumn("_shard", F.pmod(F.shiftright("_order", 32), F.lit(shards)))
+
+    def learn(shard: pa.Table) -> pa.Table:
+        batch = shard.sort_by("_order").combine_chunks().to_batches()[0]
+        at, row = coordinates(batch)
+        truth = batch.column("_label").to_numpy()
+        both = np.unique(row << BITS | at)
+        ends = np.searchsorted(both >> BITS, np.arange(len(truth) + 1))
+        own = (both & ((1 << BITS) - 1)).astype(np.int32)
+        examples = [(np.append(own[ends[i]:ends[i + 1]], np.int32(1 << BITS)), float(y)) for i, y in enumerate(truth)]
         model = Ftrl(l1=min(8.0, max(2.0, len(examples) / 500)))
         for _ in range(PASSES):
-            for at, y in examples:
-                model.learn(at, y)
+            for features, y in examples:
+                model.learn(features, y)
         w = model.weights(slice(None))
         used = np.flatnonzero(w)
-        # The row count of the shard stands at -1, so empty shards do not weigh in.
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(w[used] * len(examples), len(examples)))], names=["at", "value"])
+        # The row count of the shard stands at -1: shards weigh in by their rows.
+        return pa.table({"at": np.append(used, -1), "value": np.append(w[used] * len(examples), len(examples))})
 
-    sums = dealt.mapInArrow(learn, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").collect()  # at most 2^BITS + 2 rows
+    learned = rows.groupBy("_shard").applyInArrow(learn, "at long, value double")
+    sums = learned.groupBy("at").agg(F.sum("value").alias("value")).collect()  # at most 2^BITS + 2 rows
     total = {r["at"]: r["value"] for r in sums}
     seen = max(total.pop(-1, 0.0), 1.0)
     intercept = total.pop(1 << BITS, 0.0) / seen
