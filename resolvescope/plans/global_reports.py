@@ -126,14 +126,15 @@ def global_spoofing(t) -> DataFrame:
     })
 
 
-def global_countries(t, top: int = 250) -> DataFrame:
-    """Addresses per country with coordinates, most populated first."""
+def global_countries(t, top: int | None = None) -> DataFrame:
+    """Addresses per country with coordinates, most populated first; all of them unless ``top`` is given."""
     rows = t.resolver_location.select("resolver_id", "country").join(t.resolver.select("resolver_id", "is_public"), "resolver_id")
     counted = rows.groupBy("country").agg(
         F.count(F.lit(1)).alias("count"), F.count_if("is_public").alias("public_count"),
         F.count_if(~F.col("is_public")).alias("closed_count"),
     )
-    return with_coordinates(counted, t.country_location).orderBy(F.col("count").desc(), "country").limit(top)
+    ordered = with_coordinates(counted, t.country_location).orderBy(F.col("count").desc(), "country")
+    return ordered if top is None else ordered.limit(top)
 
 
 def global_asns(t, top: int = 10) -> DataFrame:

@@ -31,7 +31,7 @@ from resolvescope.operators.merge import (
 )
 from resolvescope.operators.rows import latest_by, newest_first
 from resolvescope.session import materialise
-from resolvescope.sources.mapping import apply_mapping, ordered_modules
+from resolvescope.sources.mapping import FileKind
 
 Cut = Callable[[DataFrame], DataFrame]
 ATTRIBUTES = ("asn", "prefix", "dohpath", "endpoint", "org", "domain")
@@ -630,8 +630,8 @@ def import_resolvers(
     All modules start from the cleaned and the numbered rows; ``cut`` writes both once, so they
     are not derived again for each module.
     """
-    modules = ordered_modules("resolver", modules)
-    mapped = apply_mapping(df, mapping, modules, kind="resolver")
+    selection = FileKind("resolver").selection(mapping, modules, df.columns)
+    modules, mapped = selection.modules, selection.of(df)
     stage = resolver_rows(mapped, source, verified, iso, now, v6)
     result = import_resolver_stage(t, stage, modules, force, now, cut)
     result.input = invalid_addresses(mapped, v6)
@@ -677,8 +677,8 @@ def import_forwarders(
     now: Column | None = None, v6: bool = True, cut: Cut = materialise,
 ) -> ImportResult:
     """Landed forwarder rows end to end; see ``import_resolvers``."""
-    modules = ordered_modules("forwarder", modules)
-    mapped = apply_mapping(df, mapping, modules, kind="forwarder")
+    selection = FileKind("forwarder").selection(mapping, modules, df.columns)
+    modules, mapped = selection.modules, selection.of(df)
     stage = forwarder_rows(mapped, source, iso, now, v6)
     result = import_forwarder_stage(t, stage, modules, force, now, cut)
     result.input = invalid_addresses(mapped, v6)
@@ -686,7 +686,7 @@ def import_forwarders(
 
 
 def import_qmin(t, df: DataFrame, mapping, source: str, force: bool = False, now: Column | None = None, v6: bool = True) -> ImportResult:
-    mapped = apply_mapping(df, mapping, ["qmin"], kind="qmin")
+    mapped = FileKind("qmin").selection(mapping, ["qmin"], df.columns).of(df)
     rows = qmin_rows(mapped, source, now, v6)
     result = ImportResult()
     result.add("qmin", "qmin_resolver", lambda: merge_qmin(t.qmin_resolver, rows, t.resolver, force))

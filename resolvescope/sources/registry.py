@@ -40,12 +40,14 @@ def touch_sources(registry: DataFrame, batch: DataFrame, ts: Column) -> DataFram
     ).select(*registry.columns)
 
 
-def check_and_touch_sources(registry: DataFrame, batch: DataFrame, ts: Column) -> DataFrame:
-    """``touch_sources`` after making sure all sources are registered; lists the missing ones."""
-    missing = missing_sources(registry, batch).orderBy("source").limit(100)
-    names = [row["source"] for row in missing.collect()]
+def check_and_touch_sources(registry: DataFrame, batch: DataFrame, ts: Column, named: int = 100) -> DataFrame:
+    """``touch_sources`` after making sure all sources are registered; the error counts all that are
+    missing and names the first ``named``."""
+    missing = missing_sources(registry, batch)
+    names = [row["source"] for row in missing.orderBy("source").limit(named + 1).collect()]
     if names:
-        raise ValueError(f"sources are not registered: {', '.join(names)}")
+        more = missing.count() - named if len(names) > named else 0
+        raise ValueError(f"sources are not registered: {', '.join(names[:named])}" + (f" and {more} more" if more else ""))
     return touch_sources(registry, batch, ts)
 
 
@@ -84,12 +86,13 @@ def import_resolver_lists(spark, t, configs: Iterable[dict], iso: DataFrame | No
     """Resolver lists from landed text or CSV files, one import per config.
 
     A config has path, mapping, modules, source and optionally headers, header, separator,
-    verified, force. Each import sees the resolver tables left by the one before.
+    verified, force. Each import sees the resolver tables left by the one before. Returns one result
+    per config, in their order, so several lists of one source keep a result each.
     """
     from resolvescope.plans.imports import import_resolvers
     from resolvescope.sources.readers import read_table
 
-    results = {}
+    results = []
     current = t
     for config in configs:
         headers = config.get("headers")
@@ -103,7 +106,7 @@ def import_resolver_lists(spark, t, configs: Iterable[dict], iso: DataFrame | No
             current, frame, config["mapping"], config["modules"], config["source"],
             config.get("verified", False), config.get("force", False), iso, now,
         )
-        results[config["source"]] = result
+        results.append(result)
         current = _Next(current, result)
     return results
 

@@ -101,3 +101,28 @@ def test_anycast_country_shapes(spark):
     out = feeds.prepare_anycast_file(scalar, "prefix:prefix,country:c,country_count:n,asn:a", "anycast,asn,asn_backend,location")
     assert [(r.country, r.country_count) for r in out["country_backend"].collect()] == [("DE", 3)]
     assert {(r.asn, r.asn_count) for r in out["asn_backend"].collect()} == {(1, 1), (2, 2)}
+
+
+def test_lookup_records_at_any_depth(spark):
+    from pyspark.sql import functions as F
+
+    from resolvescope.sources.readers import lookup_rows
+
+    record = '{"type":"PTR","answer":"deep.example."}'
+    for _ in range(9):
+        record = '{"more":[' + record + "]}"
+    texts = [
+        '{"name":"192.0.2.1","results":{"PTR":{"status":"NOERROR","data":{"answers":[{"type":"PTR","answer":"flat.example."}]}}}}',
+        '{"name":"192.0.2.2","results":{"PTR":{"status":"NOERROR","data":' + record + "}}}",
+        '{"name":"192.0.2.3","results":{"PTR":{"status":"NOERROR","data":{"a":{"b":{"type":"PTR","answer":"quoted [{}] \\" .example."}}}}}}',
+    ]
+    rows = lookup_rows(spark.createDataFrame([(t,) for t in texts], "t string").select(F.parse_json("t").alias("row")))
+    found = {(r["resolver_ip"], r["domain"]) for r in feeds.ptr_domains(rows).collect()}
+    assert found == {("192.0.2.1", "flat.example"), ("192.0.2.2", "deep.example"), ("192.0.2.3", 'quoted [{}] " .example')}
+
+
+def test_wide_as_numbers(spark):
+    pages = spark.createDataFrame([(1, '<a href="/dnssec/AS4200000000?c=DE">x</a><a href="/dnssec/AS4294967296?c=DE">y</a><A HREF="/DNSSEC/AS1">no details</a>')], "page_id long, html string")
+    assert [tuple(r) for r in feeds.extract_as_links(pages).collect()] == [(4200000000, None)]
+    series = spark.createDataFrame([("AS4200000000", '{"data":[{"date":"2024-01-02","30_day":{"seen":"1"}}]}')], "asked string, payload string")
+    assert [r["asn"] for r in feeds.dnssec_latest(series, "asn").collect()] == [4200000000]

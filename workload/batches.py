@@ -152,3 +152,10 @@ def svcb_batch(t: Fixtures) -> DataFrame:
         F.when(k % 5 == 0, F.array(F.concat(F.lit("2001:DB8:0:1::"), F.lower(F.hex(k % 50 + 1))), F.lit("oops"))).alias("ipv6hint"),
         F.when(k % 7 == 0, F.concat(F.lit("/d"), (k % 3).cast("string"))).alias("dohpath"),
     )
+
+
+def mapped(df, mapping, modules, kind):
+    """A landed frame with the target columns of a kind."""
+    from resolvescope.sources.mapping import FileKind
+
+    return FileKind(kind).selection(mapping, modules, df.columns).of(df)

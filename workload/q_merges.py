@@ -141,14 +141,14 @@ def _(t):
   FROM fx_resolver r LEFT JOIN st_unique u ON u.ip=r.ip
   UNION ALL SELECT ip, resolver_id, is_public, {stamp(f'coalesce(last_update_ts,{NOW})')}, source FROM st_fresh""", EXTRA)
 def _(t):
-    mapped = m.apply_mapping(b.landed_resolvers(t), b.RESOLVER_MAPPING, ["resolver"])
+    mapped = b.mapped(b.landed_resolvers(t), b.RESOLVER_MAPPING, ["resolver"], "resolver")
     stage = m.resolver_rows(mapped, "list", iso=iso_table(t.spark), now=b.now(), v6=False)
     return m.add_resolvers(Tables(t), stage, True, b.now()).table("resolver").drop("family", "ip_hi", "ip_lo")
 
 
 @query("m25_assign_ids", "SELECT ip, resolver_id FROM st_all", EXTRA)
 def _(t):
-    mapped = m.apply_mapping(b.landed_resolvers(t), b.RESOLVER_MAPPING, ["resolver"])
+    mapped = b.mapped(b.landed_resolvers(t), b.RESOLVER_MAPPING, ["resolver"], "resolver")
     stage = m.resolver_rows(mapped, "list", iso=iso_table(t.spark), now=b.now(), v6=False)
     return m.number_rows(m.unique_rows(stage), t.resolver, t.resolver_identity, "resolver_id").select("ip", "resolver_id")
 
@@ -249,7 +249,7 @@ def _(t):
   FROM st_fups LEFT JOIN fx_resolver r ON r.ip_lo=st_fups.up LEFT JOIN fx_forwarder f ON f.ip_lo=st_fups.up LEFT JOIN st_fall a ON a.ip_lo=st_fups.up""", EXTRA_F)
 def _(t):
     tables = ForwarderTables(t)
-    stage = m.forwarder_rows(m.apply_mapping(b.landed_forwarders(t), b.FORWARDER_MAPPING, ["upstream"], "forwarder"), "scan", now=b.now(), v6=False)
+    stage = m.forwarder_rows(b.mapped(b.landed_forwarders(t), b.FORWARDER_MAPPING, ["upstream"], "forwarder"), "scan", now=b.now(), v6=False)
     numbered = m.number_rows(m.unique_rows(stage), t.forwarder, tables.forwarder_identity, "forwarder_id")
     return m.classify_upstreams(stage, numbered, t.resolver, t.forwarder).select("forwarder_id", "upstream_ip", "upstream_resolver_id", "upstream_forwarder_id")
 
@@ -357,13 +357,13 @@ def _(t):
 
 @query("j12_resolve_ids", "SELECT resolver_id, ip_lo, qmin FROM st_q JOIN fx_resolver USING (ip_lo)", EXTRA_Q)
 def _(t):
-    rows = m.qmin_rows(m.apply_mapping(b.landed_qmin(t), b.QMIN_MAPPING, ["qmin"], "qmin"), "probe", b.now(), False)
+    rows = m.qmin_rows(b.mapped(b.landed_qmin(t), b.QMIN_MAPPING, ["qmin"], "qmin"), "probe", b.now(), False)
     return m.resolve_ids(rows, t.resolver).select("resolver_id", "ip_lo", "qmin")
 
 
 @query("j12_missing_resolvers", "SELECT ip_lo, count(*) AS n FROM st_q WHERE ip_lo NOT IN (SELECT ip_lo FROM fx_resolver) GROUP BY 1", EXTRA_Q)
 def _(t):
-    rows = m.qmin_rows(m.apply_mapping(b.landed_qmin(t), b.QMIN_MAPPING, ["qmin"], "qmin"), "probe", b.now(), False)
+    rows = m.qmin_rows(b.mapped(b.landed_qmin(t), b.QMIN_MAPPING, ["qmin"], "qmin"), "probe", b.now(), False)
     return m.missing_resolvers(rows, t.resolver).groupBy("ip_lo").agg(F.count(F.lit(1)).alias("n"))
 
 
