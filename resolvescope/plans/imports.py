@@ -152,8 +152,8 @@ def unique_rows(stage: DataFrame) -> DataFrame:
     return latest_by(stage, IP_KEY, newest_first("last_update_ts", "source"))
 
 
-def highest_id(identity: DataFrame) -> Column:
-    return identity.agg(F.max("id")).scalar()
+def highest_id(table: DataFrame, name: str = "id") -> Column:
+    return table.agg(F.max(name)).scalar()
 
 
 def number_rows(unique: DataFrame, current: DataFrame, identity: DataFrame, id_name: str) -> DataFrame:
@@ -161,7 +161,9 @@ def number_rows(unique: DataFrame, current: DataFrame, identity: DataFrame, id_n
     order; ``_fresh`` tells which."""
     joined = unique.join(current.select(*IP_KEY, F.col(id_name).alias("_known")), IP_KEY, "left")
     joined = joined.withColumn("_fresh", F.col("_known").isNull())
-    numbered = assign_ids(joined, highest_id(identity), ip_bucket(), address_order(), id_name, only=F.col("_fresh"))
+    # Both tables count: one may be ahead of the other after an interrupted load.
+    highest = F.greatest(highest_id(identity), highest_id(current, id_name))
+    numbered = assign_ids(joined, highest, ip_bucket(), address_order(), id_name, only=F.col("_fresh"))
     return numbered.withColumn(id_name, F.coalesce("_known", id_name)).drop("_known")
 
 
@@ -624,11 +626,11 @@ def import_resolvers(
     t, df: DataFrame, mapping, modules, source: str, verified: bool = False, force: bool = False,
     iso: DataFrame | None = None, now: Column | None = None, v6: bool = True, cut: Cut = materialise,
 ) -> ImportResult:
-    """Landed resolver rows end to end: mapping, cleaning, newest per address, merges. Nothing is
-    written; a dry run evaluates only the reports.
+    """Landed resolver rows end to end: mapping, cleaning, newest per address, merges. No table is
+    changed; a dry run evaluates only the reports.
 
-    All modules start from the cleaned and the numbered rows; ``cut`` writes both once, so they
-    are not derived again for each module.
+    All modules start from the cleaned and the numbered rows. ``cut`` writes both once, while the
+    result is described, so they are not derived again for each module.
     """
     selection = FileKind("resolver").selection(mapping, modules, df.columns)
     modules, mapped = selection.modules, selection.of(df)

@@ -7,6 +7,7 @@ resources, checkpoint folder and shuffle partition count.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,11 +38,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only a session without one (tests, a laptop) gets a scratch folder.
+    Only a local session without one (tests, a laptop) gets a scratch folder; on a cluster a folder of
+    one machine would lose rows, so the setting is required there.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="resolvescope-"))
     return context.getCheckpointDir()
 

@@ -115,3 +115,29 @@ def test_versions_and_stream(spark, tmp_path):
     out = stream.writeStream.format("memory").queryName("sessions_once").trigger(availableNow=True).start()
     out.awaitTermination()
     assert spark.table("sessions_once").count() == 2
+
+
+def test_interrupted_commit_leaves_the_tables_as_they_were(spark, tmp_path):
+    from resolvescope.sources.versions import commit_import, open_catalog
+
+    root = str(tmp_path / "tables")
+    load = lambda ips: m.import_resolvers(open_catalog(spark, root), spark.createDataFrame([(ip,) for ip in ips], "ip string"), "ip:ip", "resolver", "list", now=now())
+    commit_import(spark, root, load(["1.1.1.1"]))
+
+    class Breaks:
+        table_names = ["resolver", "resolver_identity"]
+
+        def __init__(self, result):
+            self.result = result
+
+        def table(self, name):
+            if name == "resolver_identity":
+                return spark.createDataFrame([(1,)], "id long").select(m.F.raise_error(m.F.lit("lost")).alias("id"))
+            return self.result.table(name)
+
+    with pytest.raises(Exception):
+        commit_import(spark, root, Breaks(load(["2.2.2.2"])))
+    assert {r.ip for r in open_catalog(spark, root).resolver.collect()} == {"1.1.1.1"}
+    commit_import(spark, root, load(["3.3.3.3", "4.4.4.4"]))
+    ids = {r.ip: r.resolver_id for r in open_catalog(spark, root).resolver.collect()}
+    assert ids.keys() == {"1.1.1.1", "3.3.3.3", "4.4.4.4"} and len(set(ids.values())) == 3
