@@ -665,11 +665,12 @@ def import_forwarder_stage(
         elif name == "protocol":
             result.add(name, "forwarder_protocol", lambda: merge_forwarder_protocol(t.forwarder_protocol, numbered, force, now))
         elif name == "upstream":
+            edges = cut(classify_upstreams(stage, numbered, t.resolver, t.forwarder))  # both edge tables read it
             for column in ("upstream_resolver_id", "upstream_forwarder_id"):
                 module = column.removesuffix("_id")
                 table = f"forwarder_{module.removeprefix('upstream_')}_upstream"
                 result.add(module, table, lambda column=column, table=table: merge_upstreams(
-                    getattr(t, table), classify_upstreams(stage, numbered, t.resolver, t.forwarder), column, force, now
+                    getattr(t, table), edges, column, force, now
                 ))
     return result
 

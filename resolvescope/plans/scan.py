@@ -4,13 +4,15 @@
 prefix, org and country columns and address keys, resolver_type, protocol, timestamp_request.
 
 What the rules ask about an address (is it anycast, a public resolver, a forwarder) is collected
-once into an address table. The scan meets that table once per address column instead of once
-per rule, is written once, and every feed is then a filter and a grouping of that table.
+once into an address table. Probes are first reduced to the distinct combinations of what the feeds
+read, with the newest time of each; only these meet the address table, once per address column instead
+of once per rule, and are written. Every feed is then a filter and a grouping of that table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -56,11 +58,16 @@ def census_prefixes(census: DataFrame, v6: bool = False) -> DataFrame:
     return with_prefix_key(rows, v6=v6).where(F.col("family").isNotNull()).dropDuplicates(["prefix"])
 
 
-def mark_anycast(scan: DataFrame, prefixes: DataFrame, columns: tuple[str, ...] = ("queried_ip", "replying_ip")) -> DataFrame:
+def address_columns(scan: DataFrame) -> list[str]:
+    """Queried and replying address columns of a scan, numbered ones (``replying_ip_2``) included."""
+    return [c for c in scan.columns if re.fullmatch(r"(queried|replying)_ip(_[0-9]+)?", c)]
+
+
+def mark_anycast(scan: DataFrame, prefixes: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per address column: ``<col>_anycast_supported`` (true, or null when uncovered) and
-    ``<col>_anycast_prefix``, the most specific covering prefix."""
+    ``<col>_anycast_prefix``, the most specific covering prefix. By default all address columns."""
     out = scan
-    for name in columns:
+    for name in address_columns(scan) if columns is None else columns:
         out = with_prefix_match(out, prefixes, name, "_hit", f"{name}_anycast_prefix")
         out = out.withColumn(f"{name}_anycast_supported", F.when(F.col("_hit"), True)).drop("_hit")
     return out
@@ -69,10 +76,12 @@ def mark_anycast(scan: DataFrame, prefixes: DataFrame, columns: tuple[str, ...]
 def rollup_ip(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: attributes of the newest row, newest time, the set of protocols.
 
-    The set holds protocol names, a handful per address; a hot address is combined map-side.
+    Rows are first combined to one per key, attributes and protocol, a plain hash aggregation that
+    works map-side; what needs sets and structs then sees a few rows per key.
     """
     attributes = F.struct(*ATTRIBUTES.values())
-    out = rows.groupBy(*keys).agg(
+    few = rows.groupBy(*keys, *ATTRIBUTES.values(), "supported_protocols").agg(F.max("last_update_ts").alias("last_update_ts"))
+    out = few.groupBy(*keys).agg(
         F.max_by(attributes, F.struct(F.col("last_update_ts"), attributes)).alias("_newest"),
         F.max("last_update_ts").alias("last_update_ts"),
         F.array_sort(F.collect_set("supported_protocols")).alias("supported_protocols"),
@@ -128,6 +137,26 @@ def address_roles(scan: DataFrame, anycast: DataFrame) -> DataFrame:
 ROLES = ("is_public", "is_forwarder", "is_plain_forwarder")
 
 
+ADDRESSES = ("queried_ip", "replying_ip", "backend_resolver")
+
+
+def distinct_probes(scan: DataFrame) -> DataFrame:
+    """The combinations of what the feeds read that occur, with the newest time of each."""
+    wanted = ["resolver_type", "protocol"]
+    for name in ADDRESSES:
+        wanted += [name, *_key(name), *[f"{name}_{a}" for a in ATTRIBUTES]]
+    present = [c for c in wanted if c in scan.columns]
+    return scan.groupBy(*present).agg(F.max("timestamp_request").alias("timestamp_request"))
+
+
+def _spread_key(name: str, far: int) -> list[Column]:
+    """Join key of an address column. A missing address gets a key of its own that matches nothing,
+    so that rows without an address are not dealt to one task."""
+    family, hi, lo = (F.col(c) for c in _key(name))
+    nowhere = F.xxhash64(*[F.col(c) for other in ADDRESSES for c in _key(other)], F.col("timestamp_request"))
+    return [F.coalesce(family, F.lit(far).cast("tinyint")), F.coalesce(hi, F.lit(0).cast("long")), F.when(family.isNull(), nowhere).otherwise(lo)]
+
+
 def flag_scan(scan: DataFrame, addresses: DataFrame) -> DataFrame:
     """The scan with anycast marks of queried and replying addresses and the roles of replying
     and backend addresses (false for an address never queried, null for no address)."""
@@ -135,8 +164,9 @@ def flag_scan(scan: DataFrame, addresses: DataFrame) -> DataFrame:
     for name, lead in (("queried_ip", None), ("replying_ip", "reply"), ("backend_resolver", "back")):
         carried = [] if name == "backend_resolver" else [F.col("anycast_prefix").alias(f"{name}_anycast_prefix")]
         roles = [F.col(r).alias(f"{lead}_{r}") for r in ROLES] if lead else []
-        side = addresses.select(*[F.col(k).alias(n) for n, k in zip(_key(name), IP_KEY)], *carried, *roles)
-        out = out.join(side, _key(name), "left")
+        side = addresses.select(*[F.col(k).alias(f"_side_{k}") for k in IP_KEY], *carried, *roles)
+        same = [mine == F.col(f"_side_{k}") for mine, k in zip(_spread_key(name, -1), IP_KEY)]
+        out = out.join(side, same[0] & same[1] & same[2], "left").drop(*[f"_side_{k}" for k in IP_KEY])
         if lead:
             known = F.col(name).isNotNull()
             out = out.withColumns({f"{lead}_{r}": F.when(known, F.coalesce(F.col(f"{lead}_{r}"), F.lit(False))) for r in ROLES})
@@ -320,12 +350,13 @@ class ScanClassification:
 def classify_scan(scan: DataFrame, census: DataFrame, strict: bool = False, cut: Cut = materialise) -> ScanClassification:
     """Fill probe times, collect what is known about addresses, flag the scan, set up the feeds.
 
-    ``cut`` ends the lineage three times: covered addresses, address roles, flagged scan. The
-    first two hold one row per address; the third is the table all feeds read.
+    ``cut`` ends the lineage four times: distinct probes, covered addresses, address roles, flagged
+    probes. The two in the middle hold one row per address; the last is the table all feeds read.
     """
-    covered = cut(anycast_addresses(scan, census_prefixes(census)))
-    addresses = cut(covered.join(address_roles(scan, covered), IP_KEY, "full_outer"))
-    return ScanClassification(cut(flag_scan(fill_scan_ts(scan), addresses)), strict)
+    probes = cut(distinct_probes(fill_scan_ts(scan)))
+    covered = cut(anycast_addresses(probes, census_prefixes(census)))
+    addresses = cut(covered.join(address_roles(probes, covered), IP_KEY, "full_outer"))
+    return ScanClassification(cut(flag_scan(probes, addresses)), strict)
 
 
 def refresh_scan(t, scan: DataFrame, census: DataFrame, source: str, iso: DataFrame | None = None, now: Column | None = None,
@@ -338,11 +369,13 @@ def refresh_scan(t, scan: DataFrame, census: DataFrame, source: str, iso: DataFr
     resolver_stage = m.resolver_rows(feeds.resolver_feed(source, iso), source, verified=True, now=now, v6=False)
     resolvers = m.import_resolver_stage(t, resolver_stage, ["resolver", "asn", "prefix", "org", "location", "protocol"], now=now, cut=cut)
 
+    merged = cut(resolvers.table("resolver"))
+
     class AfterResolvers:
         """Forwarder edges see the resolvers of this refresh."""
 
         def __getattr__(self, name):
-            return resolvers.table("resolver") if name == "resolver" else getattr(t, name)
+            return merged if name == "resolver" else getattr(t, name)
 
     forwarder_stage = m.forwarder_rows(feeds.forwarder_feed(source, iso), source, now=now, v6=False)
     modules = ["forwarder", "asn", "prefix", "org", "location", "protocol", "upstream"]

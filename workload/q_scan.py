@@ -73,7 +73,7 @@ def _(t):
 
 @query("p03_mark_anycast", "SELECT row_id, CASE WHEN qa THEN true END AS q, CASE WHEN ra THEN true END AS r, qp, rp FROM st_marked", EXTRA)
 def _(t):
-    m = feeds(t).flagged
+    m = p.mark_anycast(t.scan, p.census_prefixes(t.census))
     return m.select("row_id", F.col("queried_ip_anycast_supported").alias("q"), F.col("replying_ip_anycast_supported").alias("r"),
                     F.col("queried_ip_anycast_prefix").alias("qp"), F.col("replying_ip_anycast_prefix").alias("rp"))
 
