@@ -20,6 +20,7 @@ from resolvescope.operators.containment import (
     prefix_join,
 )
 from resolvescope.operators.rows import page
+from resolvescope.session import materialise
 
 SPOOF_COUNTS = ("allow", "received", "blocked", "unknown")
 
@@ -211,14 +212,18 @@ def _over_ancestors(prefixes: DataFrame, values: DataFrame) -> DataFrame:
     return pairs.join(values.withColumnRenamed("prefix", "ancestor"), "ancestor")
 
 
-def resolver_anycast(t) -> DataFrame:
-    """Anycast cover per address: number of covering prefixes, any partial, newest stamp."""
-    facts = _over_ancestors(t.anycast, t.anycast.select("prefix", "partial", "last_update_ts")).groupBy("prefix").agg(
+def anycast_cover_facts(t) -> DataFrame:
+    """Per anycast prefix with its ancestors: how many cover it, any partial, newest stamp."""
+    return _over_ancestors(t.anycast, t.anycast.select("prefix", "partial", "last_update_ts")).groupBy("prefix").agg(
         F.count(F.lit(1)).alias("prefix_count"),
         F.bool_or("partial").alias("partial"),
         F.max("last_update_ts").alias("last_update_ts"),
     )
-    rows = _with_prefix_facts(t.resolver.select("ip", *IP_KEY), t.anycast, facts)
+
+
+def resolver_anycast(t) -> DataFrame:
+    """Anycast cover per address: number of covering prefixes, any partial, newest stamp."""
+    rows = _with_prefix_facts(t.resolver.select("ip", *IP_KEY), t.anycast, anycast_cover_facts(t))
     count = F.coalesce("prefix_count", F.lit(0))
     return rows.select("ip", (count > 0).alias("anycast_found"), count.alias("prefix_count"), "partial", "last_update_ts")
 
@@ -229,8 +234,9 @@ def _chain_sites(t, backend: DataFrame, key: str, count: str) -> DataFrame:
     )
 
 
-def resolver_anycast_sites(t, kind: str = "country") -> DataFrame:
-    """Sites behind each covered address by country (with coordinates) or by ASN.
+def resolver_anycast_sites(t, kind: str = "country", targets: DataFrame | None = None) -> DataFrame:
+    """Sites behind each covered address by country (with coordinates) or by ASN; of the addresses in
+    ``targets`` (column ip) if given, else of all.
 
     Counts of nested covering prefixes add up; they are added per prefix before meeting the
     addresses, so the address side is joined once, not once per covering prefix.
@@ -241,8 +247,8 @@ def resolver_anycast_sites(t, kind: str = "country") -> DataFrame:
     else:
         sites = _chain_sites(t, t.anycast_asn_backend, "asn", "asn_count")
     keyed = t.anycast.select(*NET_KEY, "prefix").join(sites, "prefix")
-    names = t.resolver.select("ip", *IP_KEY)
-    out = longest_match(t.resolver, t.anycast).join(keyed, NET_KEY).join(names, IP_KEY)
+    asked = t.resolver if targets is None else t.resolver.join(targets.select("ip").distinct(), "ip", "left_semi")
+    out = longest_match(asked, t.anycast).join(keyed, NET_KEY).join(asked.select("ip", *IP_KEY), IP_KEY)
     return out.select("ip", kind, "count", *(["latitude", "longitude"] if kind == "country" else []), "last_update_ts")
 
 
@@ -303,15 +309,25 @@ def with_coordinates(df: DataFrame, dim: DataFrame, key: str = "country") -> Dat
 # ---- forwarders that relay to an address -----------------------------------------------------
 
 
-def relaying_forwarders(t) -> DataFrame:
-    """Distinct (ip, forwarder_id): forwarders that use the address as resolver or as forwarder."""
-    by_resolver = t.forwarder_resolver_upstream.select("forwarder_id", F.col("upstream_resolver_id").alias("resolver_id")).join(
-        t.resolver.select("resolver_id", "ip"), "resolver_id"
-    )
-    by_forwarder = t.forwarder_forwarder_upstream.select("forwarder_id", F.col("upstream_forwarder_id").alias("_up")).join(
-        t.forwarder.select(F.col("forwarder_id").alias("_up"), "ip"), "_up"
-    )
-    return by_resolver.select("ip", "forwarder_id").union(by_forwarder.select("ip", "forwarder_id")).distinct()
+def _relay_members(t) -> DataFrame:
+    """(ip, r_id, f_id): what an address can be used as, an identity of each kind; -1 for none."""
+    resolvers = t.resolver.select("ip", F.col("resolver_id").alias("r_id"))
+    forwarders = t.forwarder.select("ip", F.col("forwarder_id").alias("f_id"))
+    known = resolvers.join(forwarders, "ip", "full_outer").distinct()
+    return known.select("ip", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("r_id", "f_id")])
+
+
+def _relay_groups(t, members: DataFrame) -> DataFrame:
+    """Distinct (r_id, f_id, forwarder_id): the forwarders behind each pair of identities.
+
+    All addresses of an identity that are no forwarders share one pair, so its forwarders are listed
+    once, not once per address.
+    """
+    pairs = members.select("r_id", "f_id").distinct()
+    by_resolver = t.forwarder_resolver_upstream.select("forwarder_id", F.col("upstream_resolver_id").alias("r_id"))
+    by_forwarder = t.forwarder_forwarder_upstream.select("forwarder_id", F.col("upstream_forwarder_id").alias("f_id"))
+    names = ["r_id", "f_id", "forwarder_id"]
+    return pairs.join(by_resolver, "r_id").select(*names).union(pairs.join(by_forwarder, "f_id").select(*names)).distinct()
 
 
 def forwarder_relays(t) -> DataFrame:
@@ -319,13 +335,14 @@ def forwarder_relays(t) -> DataFrame:
     wire = t.forwarder_protocol.groupBy("forwarder_id").agg(
         F.bool_or(F.lower("protocol") == "tcp").alias("_tcp"), F.bool_or(F.lower("protocol") == "udp").alias("_udp")
     )
+    members = _relay_members(t)
     rows = (
-        relaying_forwarders(t)
+        _relay_groups(t, members)
         .join(t.forwarder_asn.select("forwarder_id", "asn"), "forwarder_id", "left")
         .join(t.forwarder_location.select("forwarder_id", "country"), "forwarder_id", "left")
         .join(wire, "forwarder_id", "left")
     )
-    return rows.groupBy("ip").agg(
+    counted = rows.groupBy("r_id", "f_id").agg(
         F.count(F.lit(1)).alias("forwarder_entry_count"),
         F.count_distinct("asn").alias("forwarder_asn_count"),
         F.count_distinct("country").alias("forwarder_country_count"),
@@ -333,13 +350,18 @@ def forwarder_relays(t) -> DataFrame:
         F.count_if("_udp").alias("forwarder_udp_count"),
         F.count_if(F.col("_tcp") & F.col("_udp")).alias("forwarder_tcp_udp_count"),
     )
+    return members.join(counted, ["r_id", "f_id"]).drop("r_id", "f_id")
 
 
-def forwarder_relays_by(t, kind: str) -> DataFrame:
-    """Relaying forwarders per address split by country or by ASN."""
+def forwarder_relays_by(t, kind: str, targets: DataFrame | None = None) -> DataFrame:
+    """Relaying forwarders per address split by country or by ASN; of the addresses in ``targets``
+    (column ip) if given."""
     table, column = (t.forwarder_location, "country") if kind == "country" else (t.forwarder_asn, "asn")
     known = table.where(F.col(column).isNotNull()).select("forwarder_id", column)
-    return relaying_forwarders(t).join(known, "forwarder_id").groupBy("ip", column).agg(F.count(F.lit(1)).alias("count"))
+    members = _relay_members(t)
+    members = members if targets is None else members.join(targets.select("ip").distinct(), "ip", "left_semi")
+    counted = _relay_groups(t, members).join(known, "forwarder_id").groupBy("r_id", "f_id", column).agg(F.count(F.lit(1)).alias("count"))
+    return members.join(counted, ["r_id", "f_id"]).select("ip", column, "count")
 
 
 # ---- composites ------------------------------------------------------------------------------
@@ -359,16 +381,16 @@ def resolver_summary(t) -> DataFrame:
         F.col("minimize_one_lab").alias("resolver_qmin_minimize_one_lab"), F.col("last_update_ts").alias("_qmin_ts"),
     )
     dnssec = t.dnssec_resolver.select("ip", F.col("validates").alias("resolver_dnssec_validates"))
-    sites = _with_prefix_facts(t.resolver.select("ip", *IP_KEY), t.anycast, anycast_site_facts(t)).drop(*IP_KEY)
-    cover = resolver_anycast(t).select("ip", "anycast_found", F.col("last_update_ts").alias("_anycast_ts"))
+    facts = anycast_cover_facts(t).select("prefix", F.lit(True).alias("_covered"), F.col("last_update_ts").alias("_anycast_ts"))
+    anycast = _with_prefix_facts(t.resolver.select("ip", *IP_KEY), t.anycast, facts.join(anycast_site_facts(t), "prefix")).drop(*IP_KEY)
+    anycast = anycast.withColumn("anycast_found", F.coalesce("_covered", F.lit(False)))
     wide = (
         base.join(t.resolver_dohpath.select("resolver_id", F.col("dohpath").alias("resolver_dohpath")), "resolver_id", "left")
         .join(qmin, "resolver_id", "left")
         .join(dnssec, "ip", "left")
         .join(alternative_summary(t), "ip", "left")
         .join(resolver_spoofing(t), "ip", "left")
-        .join(cover, "ip", "left")
-        .join(sites, "ip", "left")
+        .join(anycast, "ip", "left")
         .join(forwarder_relays(t), "ip", "left")
     )
     counts = ["anycast_site_count", "anycast_country_count", "anycast_asn_count", *RELAY_COUNTS]
@@ -394,9 +416,10 @@ def _domain_scope(summary: DataFrame, limit: int | None) -> DataFrame:
     return rows if limit is None else page(rows, [F.col("family"), F.col("resolver_ip")], 1, limit, by=["domain"]).drop("rank")
 
 
-def domain_summary(t, limit: int | None = None) -> DataFrame:
-    """Per domain over its resolvers; ``limit`` looks at the first rows of each domain only."""
-    rows = _domain_scope(resolver_summary(t), limit)
+def domain_summary(t, limit: int | None = None, cut=materialise) -> DataFrame:
+    """Per domain over its resolvers; ``limit`` looks at the first rows of each domain only. The
+    resolver summary, which three parts read, is written once."""
+    rows = cut(_domain_scope(resolver_summary(t), limit))
     single = F.count_distinct("resolver_dnssec_validates")
     measured = F.count("resolver_qmin")
     total = F.count(F.lit(1))

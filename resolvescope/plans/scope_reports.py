@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from resolvescope.functions.clean import pc
 from resolvescope.operators.containment import IP_KEY, prefix_join, with_cover_flag
-from resolvescope.operators.rows import distribution, page
+from resolvescope.operators.rows import distribution, page, one_row
 from resolvescope.plans.resolver_reports import spoof_flags, with_coordinates
 
 RISK_LEVEL = 10  # fixed value: minimisation counts above this are an amplification risk
@@ -157,12 +157,16 @@ def entity_page(grouped: DataFrame, key: str, number: int = 1, size: int = 25) -
 
     An empty page still yields one row that carries the totals.
     """
-    totals = grouped.agg(
-        F.count(F.lit(1)).alias("total_entities"),
-        F.coalesce(F.sum("resolver_count"), F.lit(0)).cast("bigint").alias("matched_resolver_count"),
-    ).withColumn("_one", F.lit(1))
-    rows = page(grouped, [F.col("resolver_count").desc(), F.col(key)], number, size).withColumn("_one", F.lit(1))
-    return totals.join(rows, "_one", "left").drop("_one")
+    listed = page(grouped, [F.col("resolver_count").desc(), F.col(key)], number, size)
+    rank = F.struct(-F.col("resolver_count"), F.col(key))
+    rows = listed.agg(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.struct(*grouped.columns).alias("row")))), lambda x: x["row"]))  # one page
+    totals = one_row(
+        grouped.sparkSession,
+        total_entities=grouped.agg(F.count(F.lit(1))),
+        matched_resolver_count=grouped.agg(F.coalesce(F.sum("resolver_count"), F.lit(0)).cast("bigint")),
+        rows=rows,
+    )
+    return totals.select("total_entities", "matched_resolver_count", F.explode_outer("rows").alias("row")).select("total_entities", "matched_resolver_count", "row.*")
 
 
 def spoofing_prefixes_by(t, kind: str, number: int = 1, size: int = 25) -> DataFrame:
@@ -200,10 +204,15 @@ def anycast_by_country(t) -> DataFrame:
     )
 
 
-def anycast_sites_by(t, kind: str, part: str) -> DataFrame:
-    """Sites of a target's anycast prefixes split by ``part`` (country with coordinates, or asn)."""
+def anycast_sites_by(t, kind: str, part: str, targets: DataFrame | None = None) -> DataFrame:
+    """Sites of a target's anycast prefixes split by ``part`` (country with coordinates, or asn).
+
+    ``targets`` (column target) limits the listing, which otherwise holds every network or country of
+    each prefix against every other.
+    """
+    asked = lambda df: df if targets is None else df.join(targets.select("target").distinct(), "target", "left_semi")
     if kind == "country" and part == "country":
-        rows = t.anycast_country_backend.groupBy(F.col("country").alias("target"), "country").agg(
+        rows = asked(t.anycast_country_backend.withColumn("target", F.col("country"))).groupBy("target", "country").agg(
             F.sum("country_count").alias("count")
         )
         return with_coordinates(rows, t.country_location)
@@ -211,6 +220,7 @@ def anycast_sites_by(t, kind: str, part: str) -> DataFrame:
         asn_anycast_prefixes(t).join(t.anycast.select("prefix"), "prefix", "left_semi") if kind == "asn"
         else t.anycast_country_backend.select(F.col("country").alias("target"), "prefix").distinct()
     )
+    prefixes = asked(prefixes)
     if part == "country":
         sites = t.anycast_country_backend.select("prefix", "country", "country_count")
         rows = prefixes.join(sites, "prefix").groupBy("target", "country").agg(F.sum("country_count").alias("count"))
