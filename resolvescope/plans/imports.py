@@ -7,7 +7,9 @@ and later. Where the policy lets an older batch change a value, that is intended
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,7 @@ from resolvescope.operators.merge import (
 from resolvescope.operators.rows import latest_by, newest_first
 from resolvescope.session import materialise
 from resolvescope.sources.mapping import FileKind
+from resolvescope.sources.registry import check_and_touch_sources, fill_country_locations
 
 Cut = Callable[[DataFrame], DataFrame]
 ATTRIBUTES = ("asn", "prefix", "dohpath", "endpoint", "org", "domain")
@@ -598,6 +601,32 @@ def _with_duplicates(result: MergeResult, stage: DataFrame) -> MergeResult:
     return MergeResult(result.table, report, result.paired)
 
 
+@dataclass(frozen=True)
+class Dimensions:
+    """Asks an import to keep the shared relations in step: every source of the batch must be
+    registered and is stamped as retrieved; countries without coordinates get the gazetteer's."""
+
+    gazetteer: DataFrame | None = None
+
+    def settle(self, t, result: ImportResult, batches: Sequence[DataFrame], now: Column | None = None) -> ImportResult:
+        """Add the modules ``sources`` and ``countries``. An unregistered source fails the import here,
+        before anything is written."""
+        used = _column_of(batches, "source")
+        if used is not None:
+            touched = check_and_touch_sources(t.data_source, used, stamp_now(now))
+            report = touched.join(used.distinct(), "source", "left_semi").agg(F.count(F.lit(1)).alias("updated"))
+            result.add("sources", "data_source", lambda: MergeResult(touched, report, touched))
+        places = _column_of(batches, "country")
+        if places is not None and self.gazetteer is not None:
+            result.add("countries", "country_location", lambda: fill_country_locations(t.country_location, places, self.gazetteer))
+        return result
+
+
+def _column_of(batches: Sequence[DataFrame], name: str) -> DataFrame | None:
+    found = [b.select(name).where(F.col(name).isNotNull()).distinct() for b in batches if name in b.columns]
+    return reduce(DataFrame.union, found) if found else None
+
+
 def import_resolver_stage(
     t, stage: DataFrame, modules: list[str] | None = None, force: bool = False, now: Column | None = None, cut: Cut = materialise
 ) -> ImportResult:
@@ -624,7 +653,7 @@ def import_resolver_stage(
 
 def import_resolvers(
     t, df: DataFrame, mapping, modules, source: str, verified: bool = False, force: bool = False,
-    iso: DataFrame | None = None, now: Column | None = None, v6: bool = True, cut: Cut = materialise,
+    iso: DataFrame | None = None, now: Column | None = None, v6: bool = True, cut: Cut = materialise, dimensions: Dimensions | None = None,
 ) -> ImportResult:
     """Landed resolver rows end to end: mapping, cleaning, newest per address, merges. No table is
     changed; a dry run evaluates only the reports.
@@ -634,10 +663,10 @@ def import_resolvers(
     """
     selection = FileKind("resolver").selection(mapping, modules, df.columns)
     modules, mapped = selection.modules, selection.of(df)
-    stage = resolver_rows(mapped, source, verified, iso, now, v6)
-    result = import_resolver_stage(t, stage, modules, force, now, cut)
+    stage = cut(resolver_rows(mapped, source, verified, iso, now, v6))
+    result = import_resolver_stage(t, stage, modules, force, now, lambda df: df if df is stage else cut(df))
     result.input = invalid_addresses(mapped, v6)
-    return result
+    return result if dimensions is None else dimensions.settle(t, result, [stage], now)
 
 
 def import_forwarder_stage(
@@ -677,29 +706,57 @@ def import_forwarder_stage(
 
 def import_forwarders(
     t, df: DataFrame, mapping, modules, source: str, force: bool = False, iso: DataFrame | None = None,
-    now: Column | None = None, v6: bool = True, cut: Cut = materialise,
+    now: Column | None = None, v6: bool = True, cut: Cut = materialise, dimensions: Dimensions | None = None,
 ) -> ImportResult:
     """Landed forwarder rows end to end; see ``import_resolvers``."""
     selection = FileKind("forwarder").selection(mapping, modules, df.columns)
     modules, mapped = selection.modules, selection.of(df)
-    stage = forwarder_rows(mapped, source, iso, now, v6)
-    result = import_forwarder_stage(t, stage, modules, force, now, cut)
+    stage = cut(forwarder_rows(mapped, source, iso, now, v6))
+    result = import_forwarder_stage(t, stage, modules, force, now, lambda df: df if df is stage else cut(df))
     result.input = invalid_addresses(mapped, v6)
-    return result
+    return result if dimensions is None else dimensions.settle(t, result, [stage], now)
 
 
-def import_qmin(t, df: DataFrame, mapping, source: str, force: bool = False, now: Column | None = None, v6: bool = True) -> ImportResult:
+def import_qmin(t, df: DataFrame, mapping, source: str, force: bool = False, now: Column | None = None, v6: bool = True,
+                dimensions: Dimensions | None = None) -> ImportResult:
     mapped = FileKind("qmin").selection(mapping, ["qmin"], df.columns).of(df)
     rows = qmin_rows(mapped, source, now, v6)
     result = ImportResult()
     result.add("qmin", "qmin_resolver", lambda: merge_qmin(t.qmin_resolver, rows, t.resolver, force))
     result.input = invalid_addresses(mapped.withColumnRenamed("resolver_ip", "ip"), v6)
-    return result
+    return result if dimensions is None else dimensions.settle(t, result, [rows], now)
+
+
+def import_spoofing(t, df: DataFrame, source: str, modules: Sequence[str] = ("spoofing", "asn", "country"), force: bool = False,
+                    iso: DataFrame | None = None, now: Column | None = None, v6: bool = True, cut: Cut = materialise,
+                    dimensions: Dimensions | None = None) -> ImportResult:
+    """A landed spoofing file end to end: cleaning, newest per prefix, the asked modules."""
+    unknown = set(modules) - {"spoofing", "asn", "country"}
+    if unknown or not modules:
+        raise ValueError(f"spoofing modules are spoofing, asn and country; not {', '.join(sorted(unknown)) or 'none'}")
+    rows = cut(spoofing_rows(df, source, iso, now, v6))
+    result = merge_spoofing(t.spoofing, t.spoofing_asn, t.spoofing_country, rows, force, tuple(modules))
+    return result if dimensions is None else dimensions.settle(t, result, [rows], now)
+
+
+def import_dnssec(t, source: str, country: DataFrame | None = None, asn: DataFrame | None = None, force: bool = False,
+                  iso: DataFrame | None = None, now: Column | None = None, cut: Cut = materialise,
+                  dimensions: Dimensions | None = None) -> ImportResult:
+    """Landed DNSSEC files by country, by network, or both, end to end."""
+    given = {key: df for key, df in (("country", country), ("asn", asn)) if df is not None}
+    if not given:
+        raise ValueError("a DNSSEC import needs rows by country or by network")
+    result, batches = ImportResult(), []
+    for key, df in given.items():
+        rows = cut(dnssec_rows(df, key, source, iso, now))
+        batches.append(rows)
+        result.add(key, f"dnssec_{key}", lambda key=key, rows=rows: merge_dnssec(getattr(t, f"dnssec_{key}"), rows, key, force))
+    return result if dimensions is None else dimensions.settle(t, result, batches, now)
 
 
 def import_anycast_frames(
     t, source: str, anycast: DataFrame | None = None, asn: DataFrame | None = None, country_backend: DataFrame | None = None,
-    asn_backend: DataFrame | None = None, force: bool = False, now: Column | None = None,
+    asn_backend: DataFrame | None = None, force: bool = False, now: Column | None = None, dimensions: Dimensions | None = None,
 ) -> ImportResult:
     """Merge prepared anycast frames; each is optional."""
     result = ImportResult()
@@ -713,4 +770,7 @@ def import_anycast_frames(
     if asn_backend is not None:
         batch = with_metadata(asn_backend, source, now)
         result.add("asn_backend", "anycast_asn_backend", lambda batch=batch: merge_backend(t.anycast_asn_backend, batch, "asn", force))
+    if dimensions is not None:
+        frames = [with_metadata(f, source, now) for f in (anycast, asn, country_backend, asn_backend) if f is not None]
+        return dimensions.settle(t, result, frames, now)
     return result

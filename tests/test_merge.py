@@ -141,3 +141,21 @@ def test_interrupted_commit_leaves_the_tables_as_they_were(spark, tmp_path):
     commit_import(spark, root, load(["3.3.3.3", "4.4.4.4"]))
     ids = {r.ip: r.resolver_id for r in open_catalog(spark, root).resolver.collect()}
     assert ids.keys() == {"1.1.1.1", "3.3.3.3", "4.4.4.4"} and len(set(ids.values())) == 3
+
+
+def test_unregistered_source_fails_an_import(spark):
+    tables = Catalog(spark, "/nonexistent").set("data_source", spark.createDataFrame([("list",)], "source string").selectExpr("source", "cast(null as timestamp) last_retrieved_ts"))
+    landed = spark.createDataFrame([("1.1.1.1", "list", "DE"), ("1.1.1.2", "rumour", "FR")], "ip string, source string, country string")
+    load = lambda rows: m.import_resolvers(tables, rows, "ip:ip,source:source,country:country", "resolver,location", "list", now=now(), dimensions=m.Dimensions())
+    with pytest.raises(ValueError, match="rumour"):
+        load(landed)
+    done = load(landed.where("source = 'list'"))
+    assert [r.last_retrieved_ts is not None for r in done.table("data_source").collect()] == [True]
+    sessions = spark.createDataFrame([("192.0.2.0/24", "x", "received", None)], "prefix string, privatespoof string, routedspoof string, nat boolean")
+    with pytest.raises(ValueError, match="rumour"):
+        m.import_spoofing(tables, sessions, "rumour", now=now(), dimensions=m.Dimensions())
+    assert m.import_spoofing(tables, sessions, "list", now=now()).table("spoofing").count() == 1
+    with pytest.raises(ValueError):
+        m.import_spoofing(tables, sessions, "list", modules=["other"])
+    with pytest.raises(ValueError):
+        m.import_dnssec(tables, "list")

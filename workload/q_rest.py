@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from resolvescope.functions import clean as c
 from resolvescope.functions import countries as cc
 from resolvescope.operators import rows as w
-from resolvescope.plans import contracts, feeds, legacy
+from resolvescope.plans import contracts, feeds, legacy, imports
 from resolvescope.sources import readers, registry
 from workload import batches as b
 from workload.fixtures import ISO, iso as iso_col
@@ -338,6 +338,27 @@ def _(t):
     return registry.fill_country_locations(t.country_location, t.resolver_location, gazetteer).table.select("country", "latitude")
 
 
+def settled(t):
+    """A DNSSEC import that keeps the source registry and the country coordinates in step."""
+    from workload.q_merges import Tables
+
+    n = F.col("n_nationkey")
+    gazetteer = t.raw("nation").select(iso_col(n).alias("country"), n.cast("double").alias("latitude"), n.cast("double").alias("longitude"))
+    return imports.import_dnssec(Tables(t), "automobile", country=b.dnssec_batch(t), iso=cc.iso_table(t.spark), now=b.now(), dimensions=imports.Dimensions(gazetteer))
+
+
+@query("s14_import_touches_sources", f"SELECT source, CASE WHEN source='automobile' THEN {stamp(NOW)} END AS last_retrieved_ts FROM fx_data_source")
+def _(t):
+    return settled(t).table("data_source").select("source", "last_retrieved_ts")
+
+
+@query("s15_import_fills_countries", f"""SELECT {iso('n_nationkey')} AS country, CASE WHEN n_nationkey%6<>5 THEN n_nationkey*3-30 ELSE n_nationkey END::DOUBLE AS latitude,
+   CASE WHEN n_nationkey%6<>5 THEN n_nationkey*7-80 ELSE n_nationkey END::DOUBLE AS longitude FROM nation
+   WHERE n_nationkey%6<>5 OR n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_nationkey%6<>0)""")
+def _(t):
+    return settled(t).table("country_location").select("country", "latitude", "longitude")
+
+
 @query("s16_attach_coordinates", """SELECT resolver_id, CASE WHEN resolver_id%10=0 THEN 1.5 WHEN city='city-1' THEN c.latitude+100 ELSE c.latitude END::DOUBLE AS latitude
    FROM fx_resolver_location l LEFT JOIN fx_country_location c USING (country)""")
 def _(t):
