@@ -108,6 +108,9 @@ SITE_VALUES = [
 ]
 
 
+SITE_BUCKETS = 256
+
+
 def site_rows(df: DataFrame, resolver: DataFrame, source: str, now: Column | None = None) -> DataFrame:
     """Site rows of known resolvers with synonym columns resolved."""
     pick = {name: first_known(df, names).alias(name) for name, names in SITE_COLUMNS.items()}
@@ -137,9 +140,15 @@ def anycast_sites(rows: DataFrame, current: DataFrame) -> MergeResult:
     matched = known.where(F.col("_site").isNotNull()).withColumns({n: F.col(f"_site.{n}") for n in site})
     fresh = known.where(F.col("_site").isNull())
     highest = current.groupBy("resolver_id").agg(F.max("instance_id").alias("_max"))
-    order = Window.partitionBy("resolver_id", F.col("instance_id").isNull()).orderBy("ipv4", "ipv6", "country", "city", "asn", "last_observation_ts")
-    number = F.coalesce("_max", F.lit(0)) + F.row_number().over(order)
-    fresh = fresh.join(highest, "resolver_id", "left").withColumn("instance_id", F.coalesce("instance_id", number))
+    # A resolver with very many new sites is numbered in buckets, each after the ones before it.
+    seen = ["ipv4", "ipv6", "country", "city", "asn", "last_observation_ts"]
+    fresh = fresh.withColumn("_bucket", F.pmod(F.xxhash64(*seen), F.lit(SITE_BUCKETS)))
+    counted = fresh.where("instance_id is null").groupBy("resolver_id", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("resolver_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    inside = Window.partitionBy("resolver_id", "_bucket", F.col("instance_id").isNull()).orderBy(*seen)
+    number = F.coalesce("_max", F.lit(0)) + F.col("_before") + F.row_number().over(inside)
+    fresh = fresh.join(highest, "resolver_id", "left").join(counted, ["resolver_id", "_bucket"], "left").withColumn("instance_id", F.coalesce("instance_id", number))
     columns = [*site, *SITE_VALUES, "last_observation_ts"]
     batch = latest_by(matched.select(*columns).unionByName(fresh.select(*columns)), site, [F.col("last_observation_ts").desc_nulls_last()])
     update = {c: F.coalesce(new(c), cur(c)) for c in SITE_VALUES}

@@ -507,6 +507,21 @@ def _(t):
     return table.groupBy("resolver_id").agg(F.count(F.lit(1)).alias("sites"), F.max("instance_id").alias("last_instance"))
 
 
+@query("p27_anycast_site_update", f"""SELECT s_suppkey % 50 AS resolver_id, s_suppkey AS instance_id, {v4(rip("(s_suppkey+300)"))} AS ipv4,
+   CASE WHEN s_suppkey % 3 = 0 THEN 'old' ELSE 'new' END AS org, CASE WHEN s_suppkey % 2 = 0 THEN 'Rome' END AS city FROM supplier""")
+def _(t):
+    n = F.col("s_suppkey")
+    none = {c: F.lit(None).cast(k).alias(c) for c, k in (("ipv6", "string"), ("netmask", "string"), ("asn", "bigint"), ("bgp_prefix", "string"), ("org_short", "string"),
+                                                         ("country", "string"), ("latitude", "double"), ("longitude", "double"), ("source", "string"))}
+    ip = b.v4_text(b.rip(n + 300)).alias("ipv4")
+    site = lambda number, org, city, day: t.raw("supplier").select(
+        (n % 50).alias("resolver_id"), number.cast("bigint").alias("instance_id"), ip, none["ipv6"], none["netmask"], none["asn"], none["bgp_prefix"], org.alias("org"), none["org_short"],
+        none["country"], city.cast("string").alias("city"), none["latitude"], none["longitude"], none["source"], F.lit(day).cast("timestamp").alias("last_observation_ts"))
+    current = site(n, F.lit("old"), F.when(n % 2 == 0, "Rome"), "2020-01-01")
+    rows = site(F.lit(None), F.when(n % 3 != 0, "new"), F.lit(None), "2020-02-01")
+    return legacy.anycast_sites(rows, current).table.select("resolver_id", "instance_id", "ipv4", "org", "city")
+
+
 @query("p28_merge_wide", f"""SELECT ip, coalesce(s.org, t.org) AS org, {stamp('greatest(s.ts, t.ts)')} AS last_observation_ts FROM
    (SELECT ip, source AS org, last_update_ts AS ts FROM fx_resolver) t FULL JOIN
    (SELECT {_LIP} AS ip, max_by(o_orderpriority, (o_orderdate, o_orderpriority)) FILTER (WHERE o_orderkey%3<>0) AS org, max(o_orderdate) AS ts FROM orders GROUP BY 1) s USING (ip)""")
