@@ -159,7 +159,7 @@ def descend(scratch: Scratch, nodes: DataFrame, edges: DataFrame, neighbours: in
                 a, b = np.nonzero(better)
                 for column, value in zip(out, (ids[a], ids[b], d[a, b])):
                     column.append(value)
-            if not out[0]:
+            if not sum(map(len, out[0])):
                 return None
             node, other, distance = (np.concatenate(c) for c in out)
             order = np.lexsort((distance, other, node))
