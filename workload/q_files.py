@@ -18,16 +18,19 @@ from workload.q_merges import Tables
 from workload.q_reports import EXTRA, counts_sql
 from workload.registry import query
 
-K = F.col("o_orderkey")
 ROWS = "SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p FROM orders"
 
 
+def key():
+    return F.col("o_orderkey")
+
+
 def folder(t, name: str) -> str:
     return f"{shared_folder(t.spark)}/files-{uuid.uuid4().hex}/{name}"
 
 
 def rows(t):
-    return t.raw("orders").select(K.alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("p"))
+    return t.raw("orders").select(key().alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("p"))
 
 
 def typed(df):

@@ -13,7 +13,10 @@ from workload.oracle_fixtures import iso, rip, stamp, v4, pc
 from workload.registry import query
 
 NOW = f"TIMESTAMP '{b.NOW}'"
-K = F.col("o_orderkey")
+
+
+def key():
+    return F.col("o_orderkey")
 
 
 def pick(index, *words):
@@ -27,14 +30,14 @@ def sql_pick(index: str, *words) -> str:
 
 @query("c04_clean_bool", f"SELECT o_orderkey AS k, {sql_pick('o_orderkey%8', 'true','false','true','false','true','false','true','false')}='true' AS value FROM orders")
 def _(t):
-    return t.raw("orders").select(K.alias("k"), c.clean_bool(pick(K % 8, "1", "0", " TRUE", "f", "Yes", "maybe", "y", "")).alias("value"))
+    return t.raw("orders").select(key().alias("k"), c.clean_bool(pick(key() % 8, "1", "0", " TRUE", "f", "Yes", "maybe", "y", "")).alias("value"))
 
 
 @query("c05_clean_ts", f"""SELECT o_orderkey AS k, strftime(CASE o_orderkey%4 WHEN 0 THEN o_orderdate WHEN 1 THEN date_trunc('day', o_orderdate) WHEN 2 THEN o_orderdate - INTERVAL 2 HOUR ELSE {NOW} END, '%Y-%m-%d %H:%M:%S') AS ts FROM orders""")
 def _(t):
-    text = (F.when(K % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(K % 4 == 1, F.date_format("o_orderdate", "yyyy-MM-dd"))
-            .when(K % 4 == 2, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).otherwise("soon"))
-    return t.raw("orders").select(K.alias("k"), c.clean_ts(text, b.now()).alias("ts"))
+    text = (F.when(key() % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(key() % 4 == 1, F.date_format("o_orderdate", "yyyy-MM-dd"))
+            .when(key() % 4 == 2, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).otherwise("soon"))
+    return t.raw("orders").select(key().alias("k"), c.clean_ts(text, b.now()).alias("ts"))
 
 
 @query("c06_clean_text", "SELECT p_partkey AS k, CASE WHEN p_partkey%3=0 THEN NULL ELSE p_name END AS value FROM part")
@@ -46,8 +49,8 @@ def _(t):
 @query("c07_clean_asn", """SELECT o_orderkey AS k, CASE o_orderkey%4 WHEN 0 THEN o_orderkey WHEN 1 THEN -o_orderkey WHEN 2 THEN NULL ELSE 4294967296+o_orderkey END AS plain,
    CASE o_orderkey%4 WHEN 0 THEN o_orderkey END AS census, CASE o_orderkey%4 WHEN 0 THEN nullif(o_orderkey,0) WHEN 2 THEN o_orderkey END AS asked FROM orders""")
 def _(t):
-    text = F.when(K % 4 == 0, K.cast("string")).when(K % 4 == 1, (-K).cast("string")).when(K % 4 == 2, F.concat(F.lit(" as"), K.cast("string"))).otherwise((K + 4294967296).cast("string"))
-    return t.raw("orders").select(K.alias("k"), c.clean_asn(text).alias("plain"), c.census_asn(text).alias("census"), c.query_asn(text).alias("asked"))
+    text = F.when(key() % 4 == 0, key().cast("string")).when(key() % 4 == 1, (-key()).cast("string")).when(key() % 4 == 2, F.concat(F.lit(" as"), key().cast("string"))).otherwise((key() + 4294967296).cast("string"))
+    return t.raw("orders").select(key().alias("k"), c.clean_asn(text).alias("plain"), c.census_asn(text).alias("census"), c.query_asn(text).alias("asked"))
 
 
 @query("c08_explode_asns", "SELECT prefix, CASE WHEN p='-' THEN NULL ELSE p::BIGINT END AS asn FROM (SELECT prefix, unnest(string_split(ASN,'_')) AS p FROM fx_census)")
@@ -58,19 +61,19 @@ def _(t):
 @query("c09_numbers", """SELECT o_orderkey AS k, CASE WHEN o_orderkey%70000 BETWEEN 1 AND 65535 THEN o_orderkey%70000 END AS port,
    CASE WHEN o_orderkey%5<>0 THEN o_orderkey END AS count, CASE WHEN o_orderkey%7<>0 THEN o_orderkey%100 END AS number FROM orders""")
 def _(t):
-    count = F.when(K % 5 == 0, (-K - 1).cast("string")).otherwise(K.cast("string"))
-    number = F.when(K % 7 == 0, "many").otherwise(F.concat((K % 100).cast("string"), F.lit(".0")))
-    return t.raw("orders").select(K.alias("k"), c.clean_port((K % 70000).cast("string")).alias("port"), c.clean_count(count).alias("count"), c.clean_int(number).alias("number"))
+    count = F.when(key() % 5 == 0, (-key() - 1).cast("string")).otherwise(key().cast("string"))
+    number = F.when(key() % 7 == 0, "many").otherwise(F.concat((key() % 100).cast("string"), F.lit(".0")))
+    return t.raw("orders").select(key().alias("k"), c.clean_port((key() % 70000).cast("string")).alias("port"), c.clean_count(count).alias("count"), c.clean_int(number).alias("number"))
 
 
 @query("c10_clean_qmin", f"SELECT o_orderkey AS k, {sql_pick('o_orderkey%6','no','yes','unstable','yes','other',None)} AS value FROM orders")
 def _(t):
-    return t.raw("orders").select(K.alias("k"), c.clean_qmin(pick(K % 6, "0", "1.0", " 2", "YES", "Other", "")).alias("value"))
+    return t.raw("orders").select(key().alias("k"), c.clean_qmin(pick(key() % 6, "0", "1.0", " 2", "YES", "Other", "")).alias("value"))
 
 
 @query("c11_clean_forwarder_type", f"SELECT o_orderkey AS k, {sql_pick('o_orderkey%5','transparent','recursive','recursive','recursive','odd')} AS value FROM orders")
 def _(t):
-    return t.raw("orders").select(K.alias("k"), c.clean_forwarder_type(pick(K % 5, "Transparent Forwarder", "forwarder", " Recursive ", "", "Odd")).alias("value"))
+    return t.raw("orders").select(key().alias("k"), c.clean_forwarder_type(pick(key() % 5, "Transparent Forwarder", "forwarder", " Recursive ", "", "Odd")).alias("value"))
 
 
 @query("c12_clean_country", f"SELECT c_custkey AS k, CASE WHEN c_custkey%5=0 THEN NULL WHEN c_custkey%5=1 THEN 'DEU' WHEN c_custkey%5=2 THEN 'DEU' WHEN c_custkey%5=3 THEN {iso('c_nationkey')} ELSE 'XQ' END AS country FROM customer")
@@ -110,7 +113,7 @@ def _(t):
 
 @query("c14_clean_protocol", f"SELECT o_orderkey AS k, {sql_pick('o_orderkey%7','doh3','doh','doh','doh1.1','dotcp','doudp','doq')} AS value FROM orders")
 def _(t):
-    return t.raw("orders").select(K.alias("k"), c.clean_protocol(pick(K % 7, "h3", "H2", "http/2", "http/1.1", " tcp", "UDP", "DoQ")).alias("value"))
+    return t.raw("orders").select(key().alias("k"), c.clean_protocol(pick(key() % 7, "h3", "H2", "http/2", "http/1.1", " tcp", "UDP", "DoQ")).alias("value"))
 
 
 _LIST = "CASE o_orderkey%3 WHEN 0 THEN ['doudp','dotcp'] WHEN 1 THEN ['doh'] ELSE ['dot'] END"
@@ -118,25 +121,25 @@ _LIST = "CASE o_orderkey%3 WHEN 0 THEN ['doudp','dotcp'] WHEN 1 THEN ['doh'] ELS
 
 @query("c15_explode_protocols", f"SELECT o_orderkey AS k, unnest({_LIST}) AS protocol FROM orders")
 def _(t):
-    text = pick(K % 3, "udp, TCP,", "h2", ",dot,,")
-    return c.explode_protocols(t.raw("orders").select(K.alias("k"), text.alias("protocol"))).select("k", "protocol")
+    text = pick(key() % 3, "udp, TCP,", "h2", ",dot,,")
+    return c.explode_protocols(t.raw("orders").select(key().alias("k"), text.alias("protocol"))).select("k", "protocol")
 
 
 @query("j15_lateral_split", f"SELECT o_orderkey AS k, unnest({_LIST}) AS protocol, o_orderpriority FROM orders")
 def _(t):
-    text = pick(K % 3, "udp,tcp", "http2", "dot")
-    return c.explode_protocols(t.raw("orders").select(K.alias("k"), text.alias("protocol"), "o_orderpriority"))
+    text = pick(key() % 3, "udp,tcp", "http2", "dot")
+    return c.explode_protocols(t.raw("orders").select(key().alias("k"), text.alias("protocol"), "o_orderpriority"))
 
 
 @query("c16_clean_list", "SELECT o_orderkey AS k, CASE o_orderkey%4 WHEN 0 THEN 'a|b' WHEN 1 THEN 'a|b' WHEN 2 THEN '' ELSE 'x' END AS items FROM orders")
 def _(t):
-    items = c.clean_list(pick(K % 4, "a, b", "['a', 'b']", " ", "[\"x\"]"))
-    return t.raw("orders").select(K.alias("k"), F.array_join(items, "|").alias("items"))
+    items = c.clean_list(pick(key() % 4, "a, b", "['a', 'b']", " ", "[\"x\"]"))
+    return t.raw("orders").select(key().alias("k"), F.array_join(items, "|").alias("items"))
 
 
 @query("c17_array_to_text", "SELECT o_orderkey AS k, CASE WHEN o_orderkey%2=0 THEN 'a,b' ELSE 'a,z,b' END AS text FROM orders")
 def _(t):
-    return t.raw("orders").select(K.alias("k"), c.array_to_text(F.array(F.lit("a"), F.when(K % 2 == 1, "z"), F.lit("b"))).alias("text"))
+    return t.raw("orders").select(key().alias("k"), c.array_to_text(F.array(F.lit("a"), F.when(key() % 2 == 1, "z"), F.lit("b"))).alias("text"))
 
 
 @query("c18_clean_domain", "SELECT resolver_id, lower(domain) AS domain, true AS ok, false AS bad FROM fx_resolver_domain")
@@ -239,7 +242,7 @@ def _(t):
 
 @query("w07_page_global", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50")
 def _(t):
-    return w.page(t.raw("orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), K], 3, 25)
+    return w.page(t.raw("orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), key()], 3, 25)
 
 
 @query("w08_dedupe_sessions", "SELECT session, count(*) AS n FROM (SELECT DISTINCT user_id AS session FROM events) GROUP BY 1")
@@ -260,7 +263,7 @@ def _(t):
 
 @query("s05_flatten_struct", "SELECT o_orderkey AS \"order.key\", o_custkey AS \"order.who.customer\", o_totalprice AS price FROM orders")
 def _(t):
-    nested = t.raw("orders").select(F.struct(K.alias("key"), F.struct(F.col("o_custkey").alias("customer")).alias("who")).alias("order"), F.col("o_totalprice").alias("price"))
+    nested = t.raw("orders").select(F.struct(key().alias("key"), F.struct(F.col("o_custkey").alias("customer")).alias("who")).alias("order"), F.col("o_totalprice").alias("price"))
     return readers.flatten_struct(nested)
 
 
@@ -410,10 +413,10 @@ class EmptyAnycast:
 @query("p19_dnssec_latest", """SELECT asn, validating, strftime(d,'%Y-%m-%d %H:%M:%S') AS last_observation_ts FROM (SELECT 64496+o_custkey AS asn, CASE WHEN o_orderkey%5=0 THEN NULL ELSE (o_orderkey%100)::VARCHAR END AS validating, date_trunc('day', o_orderdate) AS d
    FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY date_trunc('day', o_orderdate) DESC, o_orderkey)=1)""")
 def _(t):
-    metric = F.struct((K % 7).alias("seen"), F.when(K % 5 == 0, F.lit("")).otherwise((K % 100).cast("string")).alias("validating"))
-    entry = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.concat(F.lit("AS"), (F.col("o_custkey") + 64496).cast("string")).alias("as"), metric.alias("30_day"), (-K).alias("o"))
+    metric = F.struct((key() % 7).alias("seen"), F.when(key() % 5 == 0, F.lit("")).otherwise((key() % 100).cast("string")).alias("validating"))
+    entry = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.concat(F.lit("AS"), (F.col("o_custkey") + 64496).cast("string")).alias("as"), metric.alias("30_day"), (-key()).alias("o"))
     # one payload per network, as the feed delivers it; entries of one day keep order-key order
-    listed = F.sort_array(F.collect_list(F.struct(K.alias("o"), entry.alias("e"))))
+    listed = F.sort_array(F.collect_list(F.struct(key().alias("o"), entry.alias("e"))))
     series = t.raw("orders").groupBy("o_custkey").agg(listed.alias("l")).select(
         F.col("o_custkey").cast("string").alias("asked"), F.to_json(F.struct(F.transform("l", lambda x: x["e"]).alias("data"))).alias("payload"))
     return feeds.dnssec_latest(series, "asn").select("asn", "validating", "last_observation_ts")
@@ -436,11 +439,11 @@ def _(t):
 def lookups(t):
     """One DNS lookup result per order, as the scanner writes them."""
     ip = b.v4_text(b.rip(F.col("o_custkey") + 200))
-    k = K.cast("string")
+    k = key().cast("string")
     text = F.concat(
-        F.lit('{"name":"'), ip, F.lit('","results":{"PTR":{"status":"'), F.when(K % 5 == 0, "SERVFAIL").otherwise("NOERROR"),
-        F.lit('","data":{"answers":[{"type":"PTR","name":"1.in-addr.arpa","answer":"Host-'), (K % 40).cast("string"), F.lit('.example.com."}]}},"SVCB":{"status":"NOERROR","data":{"resolver":"'), ip,
-        F.lit(':53","answers":[{"type":"SVCB","target":"svc-'), (K % 12).cast("string"), F.lit('.example.com.","svcparams":{"alpn":["h2","h3"],"port":443,"dohpath":"/d'), (K % 3).cast("string"), F.lit('"}}]}}}}'),
+        F.lit('{"name":"'), ip, F.lit('","results":{"PTR":{"status":"'), F.when(key() % 5 == 0, "SERVFAIL").otherwise("NOERROR"),
+        F.lit('","data":{"answers":[{"type":"PTR","name":"1.in-addr.arpa","answer":"Host-'), (key() % 40).cast("string"), F.lit('.example.com."}]}},"SVCB":{"status":"NOERROR","data":{"resolver":"'), ip,
+        F.lit(':53","answers":[{"type":"SVCB","target":"svc-'), (key() % 12).cast("string"), F.lit('.example.com.","svcparams":{"alpn":["h2","h3"],"port":443,"dohpath":"/d'), (key() % 3).cast("string"), F.lit('"}}]}}}}'),
     )
     return readers.lookup_rows(t.spread("orders").select(F.parse_json(text).alias("row")))
 
@@ -528,7 +531,7 @@ def _(t):
 def _(t):
     current = t.resolver.select("ip", F.col("source").alias("org"), F.col("last_update_ts").alias("last_observation_ts"))
     landed = t.raw("orders").select(F.lit(None).cast("string").alias("ip"), b.v4_text(b.rip(F.col("o_custkey") + 200)).alias("ipv4"),
-                                    F.when(K % 3 != 0, F.col("o_orderpriority")).alias("org"), F.col("o_orderdate").alias("last_observation_ts"))
+                                    F.when(key() % 3 != 0, F.col("o_orderpriority")).alias("org"), F.col("o_orderdate").alias("last_observation_ts"))
     return legacy.merge_wide(current, legacy.wide_rows(landed, ["ip", "org", "last_observation_ts"], v6=False)).table
 
 
