@@ -183,8 +183,3 @@ def merge_wide(current: DataFrame, batch: DataFrame, ts: str = "last_observation
     update = {c: F.coalesce(new(c), cur(c)) for c in values}
     update[ts] = F.greatest(cur(ts), new(ts))
     return merge(current, folded, ["ip"], F.lit(True), update)
-
-
-def with_resolver_ids(rows: DataFrame, resolver: DataFrame, column: str = "resolver_ip") -> DataFrame:
-    """Forwarder rows of known resolvers only, with their identity."""
-    return rows.join(resolver.select(F.col("ip").alias(column), "resolver_id"), column).drop(column)
