@@ -72,7 +72,7 @@ class Scratch:
         fs.delete(path, True)
 
 
-ARROW_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "33554432"}
+ARROW_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 
 
 def small_batches(spark: SparkSession) -> None:

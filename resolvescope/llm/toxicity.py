@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField
+from pyspark.sql.types import DoubleType
 
-from resolvescope.llm.common import arrow_columns, let, lists_of, small_batches, split_words, text_of
+from resolvescope.llm.common import let, lists_of, small_batches, split_words, text_of
 
 BITS = 20
 """Features are hashed to 2^BITS coordinates."""
@@ -24,6 +24,9 @@ PER_SHARD = 4_000
 
 PASSES = 5
 
+AT_ONCE = 128
+"""Rows of a shard whose features are made at a time."""
+
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 """Odd 64-bit multipliers that set the kinds of features apart."""
 
@@ -59,9 +62,8 @@ def word_hashes(text: Column) -> Column:
     ))
 
 
-def coordinates(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def coordinates(column: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
     """(coordinate, row) of all words, their stems, pairs of neighbours and pairs that skip one word."""
-    column = batch.column("_words")
     words, offsets = lists_of(column.field(0))
     stems = [lists_of(column.field(i))[0].view(np.uint64) for i in range(1, 1 + len(STEMS))]
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -127,13 +129,16 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = rows.withColumn("_shard", F.pmod(F.shiftright("_order", 32), F.lit(shards)))
 
     def learn(shard: pa.Table) -> pa.Table:
-        batch = shard.sort_by("_order").combine_chunks().to_batches()[0]
-        at, row = coordinates(batch)
-        truth = batch.column("_label").to_numpy()
-        both = np.unique(row << BITS | at)
-        ends = np.searchsorted(both >> BITS, np.arange(len(truth) + 1))
-        own = (both & ((1 << BITS) - 1)).astype(np.int32)
-        examples = [(np.append(own[ends[i]:ends[i + 1]], np.int32(1 << BITS)), float(y)) for i, y in enumerate(truth)]
+        order = np.argsort(shard.column("_order").to_numpy())
+        examples = []
+        for start in range(0, len(order), AT_ONCE):
+            batch = shard.take(pa.array(order[start:start + AT_ONCE])).combine_chunks().to_batches()[0]
+            at, row = coordinates(batch.column("_words"))
+            truth = batch.column("_label").to_numpy()
+            both = np.unique(row << BITS | at)
+            ends = np.searchsorted(both >> BITS, np.arange(len(truth) + 1))
+            own = (both & ((1 << BITS) - 1)).astype(np.int32)
+            examples += [(np.append(own[ends[i]:ends[i + 1]], np.int32(1 << BITS)), float(y)) for i, y in enumerate(truth)]
         model = Ftrl(l1=min(8.0, max(2.0, len(examples) / 500)))
         for _ in range(PASSES):
             for features, y in examples:
@@ -152,30 +157,30 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return Weights(at, np.array([total[i] / seen for i in at]), intercept)
 
 
-def score(docs: DataFrame, weights: Weights, keep: list[str], text: str = "text") -> DataFrame:
-    """The ``keep`` columns and ``score`` in 0..1, from the whole text alone. No shuffle; null and empty
-    texts get the score of the intercept."""
+def score(docs: DataFrame, weights: Weights, text: str = "text") -> DataFrame:
+    """``docs`` with ``score`` in 0..1, from the whole text alone. No shuffle; null and empty texts get the
+    score of the intercept. Only hashes go to Python; the rows themselves stay where they are."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(weights)
-    hashed = docs.select(*keep, word_hashes(text_of(text)).alias("_words"))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(DoubleType())
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = shared.value.dense()
-        for batch in batches:
-            at, row = coordinates(batch)
+        for words in batches:
+            at, row = coordinates(words)
             telling = table[at] != 0
             both = np.unique(row[telling] << BITS | at[telling])
-            total = np.bincount(both >> BITS, weights=table[both & ((1 << BITS) - 1)], minlength=batch.num_rows) + shared.value.intercept
-            yield arrow_columns(batch, keep, score=pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -30, 30)))))
+            total = np.bincount(both >> BITS, weights=table[both & ((1 << BITS) - 1)], minlength=len(words)) + shared.value.intercept
+            yield pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -30, 30))))
 
-    return hashed.mapInArrow(scored, hashed.drop("_words").schema.add(StructField("score", DoubleType())))
+    return docs.withColumn("score", scored(word_hashes(text_of(text))))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``; repeated rows stay."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    scored = score(own, train(own, labels.withColumnRenamed(doc_id, "doc_id")), ["doc_id"])
+    scored = score(own, train(own, labels.withColumnRenamed(doc_id, "doc_id")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -183,4 +188,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """Rows of ``docs`` that score below ``threshold``, with their own columns."""
     names = docs.columns
     weights = train(docs, labels, doc_id, text)
-    return score(docs, weights, names, text).where(F.col("score") < threshold).select(*names)
+    return score(docs.select(F.struct(*names).alias("_row"), text_of(text).alias("_text")), weights, "_text").where(F.col("score") < threshold).select("_row.*")

@@ -60,6 +60,6 @@ def test_weights_are_sparse_and_the_sample_is_bounded(docs, table):
 
 def test_coordinates_do_not_cross_texts(spark, docs):
     both = docs([(1, "a b c"), (2, "d e"), (3, "")]).coalesce(1).select(tx.word_hashes(tx.text_of()).alias("_words")).toArrow().combine_chunks().to_batches()[0]
-    at, row = tx.coordinates(both)
+    at, row = tx.coordinates(both.column("_words"))
     # Words and two stems each, pairs of neighbours, and pairs that skip a word.
     assert sorted(np.bincount(row, minlength=3).tolist()) == [0, 2 * 3 + 1, 3 * 3 + 2 + 1]
