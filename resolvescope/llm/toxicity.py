@@ -124,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = usable.count()
     if known > sample:
         usable = usable.where(F.pmod("_order", F.lit(1 << 32)) < int(sample / known * (1 << 32)))
-    rows = docs.join(F.broadcast(usable), docs[doc_id] == F.col("_id")).select("_order", "_label", word_hashes(text_of(text)).alias("_words"))
+    own = docs.select(F.col(doc_id).alias("_doc"), text_of(text).alias("_text"))
+    rows = own.join(F.broadcast(usable), F.col("_doc") == F.col("_id")).select("_order", "_label", word_hashes(F.col("_text")).alias("_words"))
     shards = max(1, round(min(known, sample) / PER_SHARD))
     rows = rows.withColumn("_shard", F.pmod(F.shiftright("_order", 32), F.lit(shards)))
 
