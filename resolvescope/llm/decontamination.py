@@ -9,6 +9,7 @@ enough and few tokens in it differ.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ MASKS = ("11101011", "1100100011")
 80 % are equal, the first and last among them, holds a seed of one of these; the tests go through all."""
 
 LEAST_ITEM = 5
-"""Items of fewer tokens are no evidence of a leak and overlap with nothing."""
+"""Items of fewer tokens are no evidence of a leak and overlap with nothing; the README says how many that are."""
 
 OVERLAP = 13
 """Tokens that an overlap covers at least; an item with fewer is matched whole."""
@@ -56,9 +57,18 @@ def seed_hashes(tokens: np.ndarray, mask: str, kind: int) -> np.ndarray:
     return h
 
 
-def masks_for(shortest: list[int]) -> list[str]:
-    """The masks, and a full one for each length of items that are too short for a seed to be in every such overlap."""
-    return [*MASKS, *("1" * n for n in sorted(set(shortest)))]
+def short_masks(n: int) -> list[str]:
+    """Masks over a whole item of ``n`` tokens, one of which keeps none of any n // 5 replaced tokens.
+
+    The item is cut into two blocks more than tokens may be replaced; each mask keeps two of them.
+    """
+    blocks = np.array_split(np.arange(n), n // 5 + 2)
+    return ["".join("1" if i in kept else "0" for i in range(n)) for kept in (set(map(int, np.r_[a, b])) for a, b in combinations(blocks, 2))]
+
+
+def masks_for(shortest: list[int]) -> list[tuple[str, int]]:
+    """Masks with the length of the items that they are for; 0 stands for those of at least OVERLAP tokens."""
+    return [*((m, 0) for m in MASKS), *((m, n) for n in sorted(set(shortest)) for m in short_masks(n))]
 
 
 def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +79,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """(doc_id, item_id, start, n_tokens, n_equal): the longest overlap of each pair that has one.
 
     An overlap is a stretch of one diagonal of at least OVERLAP tokens (all of a shorter item) of which
-    at least IDENTITY are equal; ``start`` is its first token in the document. Passages keep hitting as
+    at least IDENTITY are equal, a shorter item's end tokens like its others; ``start`` is its first token
+    in the document. Passages keep hitting as
     long as they run on, so however long they are, the kept windows cover them.
 
     Documents are read once, without a shuffle: a task looks every seed up in two fixed-size bit tables
@@ -96,7 +107,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
             out: list[list[np.ndarray]] = [[], [], []]
             for r in range(batch.num_rows):
                 tokens = values[ends[r]:ends[r + 1]].view(np.uint64)
-                for kind, mask in enumerate(masks):
+                for kind, (mask, length) in enumerate(masks):
+                    if length != (len(tokens) if len(tokens) < OVERLAP else 0):
+                        continue
                     h = seed_hashes(tokens, mask, kind)
                     out[0].append(h.view(np.int64))
                     out[1].append(np.full(len(h), ids[r]))
@@ -111,7 +124,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         for batch in batches:
             values, ends = lists_of(batch.column("tokens"))
             found: list[tuple] = []
-            for kind, mask in enumerate(masks):
+            for kind, (mask, _) in enumerate(masks):
                 h = seed_hashes(values.view(np.uint64), mask, kind)
                 one, two = _slots(h)
                 at = np.flatnonzero(first[one >> 3] >> (one & 7).astype(np.uint8) & 1)
@@ -168,7 +181,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def longest_overlap(tokens: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
     """(start in tokens, length, equal tokens) of the longest stretch along ``tokens[i + diagonal] ~ item[i]``
-    that begins and ends with equal tokens, has at least IDENTITY of them equal and is long enough."""
+    that begins and ends with equal tokens, has at least IDENTITY of them equal and is long enough. An item of
+    fewer than OVERLAP tokens is taken whole, whichever of its tokens differ."""
+    if len(item) < OVERLAP:
+        same = int((tokens[diagonal:diagonal + len(item)] == item).sum()) if 0 <= diagonal <= len(tokens) - len(item) else 0
+        return (diagonal, len(item), same) if same and same >= IDENTITY * len(item) else None
     low, high = max(0, -diagonal), min(len(item), len(tokens) - diagonal)
     if high <= low:
         return None
@@ -183,7 +200,7 @@ def longest_overlap(tokens: np.ndarray, item: np.ndarray, diagonal: int) -> tupl
     begin = np.searchsorted(-lowest, -gain[lasts])
     length = lasts - firsts[np.minimum(begin, len(firsts) - 1)]
     k = int(np.argmax(length))
-    if length[k] < min(OVERLAP, len(item)):
+    if length[k] < OVERLAP:
         return None
     start = int(lasts[k] - length[k])
     return low + diagonal + start, int(length[k]), int(equal[start:lasts[k]].sum())

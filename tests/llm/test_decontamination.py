@@ -74,3 +74,18 @@ def test_stretch_on_a_diagonal():
     assert dc.longest_overlap(doc, item + 100, 0) is None
     assert dc.longest_overlap(doc, item[20:40], 20) == (20, 20, 20)
     assert dc.longest_overlap(doc, item, 60) is None
+
+
+def test_short_items_with_a_replaced_token(docs, table):
+    items = {n: [f"w{n}x{i}" for i in range(n)] for n in range(5, 13)}
+    texts, want = [], set()
+    for n, item in items.items():
+        for k in range(n // 5 + 2):
+            for bad in combinations(range(n), k):
+                if k <= n // 5 or bad[0] == 0:
+                    if k <= n // 5:
+                        want.add((len(texts), n, 3, n, n - k))
+                    texts.append(["a", "b", "c", *("other" if i in bad else w for i, w in enumerate(item)), "d"])
+    bench = table([(n, " ".join(item), 1) for n, item in items.items()], ITEMS)
+    got = dc.find_overlaps(docs([(i, " ".join(t)) for i, t in enumerate(texts)]), bench)
+    assert {tuple(r) for r in got.select("doc_id", "item_id", "start", "n_tokens", "n_equal").collect()} == want
