@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from resolvescope.llm.common import Scratch, let, lists_of, small_batches, split_words, text_of
 
-MASKS = ("11101011", "1100100011")
-"""Positions that a seed keeps (1) and ignores (0). Every stretch of 13 to 19 tokens of which at least
+MASKS = ("11101011", "1100100011", "1111111")
+"""Positions that a seed keeps (1) and ignores (0). Every stretch of 13 to 25 tokens of which at least
 80 % are equal, the first and last among them, holds a seed of one of these; the tests go through all."""
 
 LEAST_ITEM = 5

@@ -89,3 +89,12 @@ def test_short_items_with_a_replaced_token(docs, table):
     bench = table([(n, " ".join(item), 1) for n, item in items.items()], ITEMS)
     got = dc.find_overlaps(docs([(i, " ".join(t)) for i, t in enumerate(texts)]), bench)
     assert {tuple(r) for r in got.select("doc_id", "item_id", "start", "n_tokens", "n_equal").collect()} == want
+
+
+def test_seeds_find_every_overlap_up_to_25():
+    for n in range(13, 26):
+        # Per start of a mask the kept positions as bits; a pattern is missed if it hits all of them.
+        spans = [sum(1 << s + i for i, k in enumerate(m) if k == "1") for m in dc.MASKS for s in range(n - len(m) + 1)]
+        for k in range(n // 5 + 1):
+            bad = np.array([sum(1 << i for i in b) for b in combinations(range(1, n - 1), k)])
+            assert np.all([(bad & s) > 0 for s in spans], axis=0).sum() == 0
