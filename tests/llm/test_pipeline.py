@@ -38,3 +38,11 @@ def test_every_query_runs(spark):
     assert names <= {q.split("_")[0] for q in entry.queries()} and "pipeline" in entry.queries()
     found = entry.queries()["op6_toxicity"](spark, SF).agg(F.count("*")).first()[0]
     assert found == read_table(spark, SF, "documents").count()
+
+
+def test_benchmark_stage_with_repeated_and_missing_ids(spark, docs):
+    leak = read_table(spark, SF, "benchmark").first()["text"]
+    frame = docs([(1, leak), (1, "a clean text"), (None, leak), (None, "another clean text"), (2, None)])
+    kept = corpus_pipeline.drop_benchmark_passages(spark, frame, SF)
+    assert kept.columns == frame.columns
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(1, "a clean text"), (None, "another clean text"), (2, None)}
