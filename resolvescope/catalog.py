@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import weakref
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _STAMP = "last_update_ts timestamp"
@@ -55,14 +59,75 @@ TABLES = {
 }
 
 
+# What a table may be dealt into buckets by: part of the key of every merge into it.
+BUCKET_KEYS = {
+    **dict.fromkeys(("resolver", "forwarder", "dnssec_resolver", "dnssec_resolver_dobit"), ("family", "ip_hi", "ip_lo")),
+    **dict.fromkeys(("resolver_identity", "forwarder_identity"), ("id",)),
+    **{name: ("resolver_id",) for name in TABLES if name.startswith("resolver_") and name != "resolver_identity"},
+    "qmin_resolver": ("resolver_id",),
+    **{name: ("forwarder_id",) for name in TABLES if name.startswith("forwarder_") and name != "forwarder_identity"},
+    **{name: ("prefix",) for name in TABLES if name.startswith(("anycast", "spoofing"))},
+}
+
+
+@dataclass(frozen=True)
+class Layout:
+    """A stored table dealt into buckets by a hash of key columns, each bucket a folder of its own."""
+
+    spark: SparkSession
+    schema: T.StructType
+    keys: tuple[str, ...]
+    buckets: int
+    folders: dict[int, str]
+
+    def number(self) -> Column:
+        """The bucket of a row that has the key columns, of whatever integer type."""
+        return bucket_number([F.col(k).cast(self.schema[k].dataType) for k in self.keys], self.buckets)
+
+    def hit_by(self, batch: DataFrame) -> list[int]:
+        """Buckets that rows of a batch fall into; at most all of them come to the driver."""
+        return sorted(r[0] for r in batch.select(self.number().alias("b")).distinct().collect())
+
+    def read(self, numbers: set[int]) -> DataFrame:
+        """The rows of some buckets; no other folder is listed."""
+        paths = [path for number, path in sorted(self.folders.items()) if number in numbers]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+
+def bucket_number(keys: list[Column], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+_layouts: weakref.WeakKeyDictionary[DataFrame, Layout] = weakref.WeakKeyDictionary()
+
+
+def layout_of(frame: DataFrame) -> Layout | None:
+    """The layout of a table exactly as a catalog opened it; None for anything derived."""
+    return _layouts.get(frame)
+
+
 class Catalog:
-    """Relations of one table folder as attributes; a relation that was never written is empty."""
+    """Relations of one table folder as attributes; a relation that was never written is empty.
+
+    ``versions`` names each table's folder below its own, or how it is dealt into buckets:
+    {"keys": [...], "buckets": n, "parts": {bucket: folder}}.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, versions: dict[str, str] | None = None):
+    def __init__(self, spark: SparkSession, root: str, versions: dict[str, str | dict] | None = None):
         self._spark = spark
         self._root = root.rstrip("/")
         self._versions = versions or {}
         self._frames: dict[str, DataFrame] = {}
+        self._read: set[str] = set()
+
+    @property
+    def versions(self) -> dict[str, str | dict]:
+        return self._versions
+
+    @property
+    def tables_read(self) -> set[str]:
+        """Stored tables that have been asked for so far."""
+        return set(self._read)
 
     def path(self, name: str) -> str:
         version = self._versions.get(name)
@@ -72,16 +137,27 @@ class Catalog:
         self._frames[name] = frame
         return self
 
+    def layout(self, name: str) -> Layout | None:
+        version = self._versions.get(name)
+        if not isinstance(version, dict):
+            return None
+        folders = {int(number): f"{self._root}/{name}/{folder}/bucket={number}" for number, folder in version["parts"].items()}
+        return Layout(self._spark, T.StructType.fromDDL(TABLES[name]), tuple(version["keys"]), version["buckets"], folders)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
         if name not in self._frames:
-            schema = T.StructType.fromDDL(TABLES[name])
-            path = self.path(name)
-            hadoop = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            store = hadoop.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration())
-            if store.exists(hadoop):
-                self._frames[name] = self._spark.read.schema(schema).parquet(path)
-            else:
-                self._frames[name] = self._spark.createDataFrame([], schema)
+            self._read.add(name)
+            layout = self.layout(name)
+            self._frames[name] = self._stored(name) if layout is None else layout.read(set(layout.folders))
+            if layout is not None:
+                _layouts[self._frames[name]] = layout
         return self._frames[name]
+
+    def _stored(self, name: str) -> DataFrame:
+        schema = T.StructType.fromDDL(TABLES[name])
+        path = self.path(name)
+        hadoop = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        store = hadoop.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration())
+        return self._spark.read.schema(schema).parquet(path) if store.exists(hadoop) else self._spark.createDataFrame([], schema)

@@ -9,17 +9,32 @@ the writer puts the new version next to the old one (``resolvescope.sources.vers
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from resolvescope.catalog import Layout, layout_of
+
+
+@dataclass(frozen=True)
+class Part:
+    """The buckets of a stored table that a merge has touched, with their next rows."""
+
+    layout: Layout
+    numbers: tuple[int, ...]
+    rows: DataFrame
+
 
 @dataclass
 class MergeResult:
     table: DataFrame
     report: DataFrame
     paired: DataFrame = field(repr=False)
+    part: Part | None = field(default=None, repr=False)
+
+    def with_report(self, report: DataFrame) -> "MergeResult":
+        return replace(self, report=report)
 
 
 def cur(name: str) -> Column:
@@ -67,7 +82,21 @@ def merge(
     report: Mapping[str, Column] | None = None,
 ) -> MergeResult:
     """Apply a policy. Columns not named keep the current value, or take the batch value when
-    inserted (null if the batch lacks them)."""
+    inserted (null if the batch lacks them).
+
+    A current table that is stored in buckets of these keys is merged in the buckets that the batch
+    falls into; the others are neither read nor joined, and a commit names their files again."""
+    layout = layout_of(current)
+    if layout is not None and set(layout.keys) <= set(keys):
+        hit = set(layout.hit_by(batch))
+        touched = _merge(layout.read(hit), batch, keys, update_when, update, insert, report)
+        rest = layout.read(set(layout.folders) - hit)
+        return replace(touched, table=touched.table.unionByName(rest), part=Part(layout, tuple(sorted(hit)), touched.table))
+    return _merge(current, batch, keys, update_when, update, insert, report)
+
+
+def _merge(current: DataFrame, batch: DataFrame, keys: Sequence[str], update_when: Column, update: Mapping[str, Column],
+           insert: Mapping[str, Column] | None, report: Mapping[str, Column] | None) -> MergeResult:
     insert = insert or {}
     paired = pair(current, batch, keys).withColumn(
         "change",

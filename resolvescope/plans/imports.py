@@ -20,6 +20,7 @@ from resolvescope.functions.net import address_order, canonical_prefix, with_ip_
 from resolvescope.operators.containment import IP_KEY
 from resolvescope.operators.merge import (
     MergeResult,
+    Part,
     any_of,
     assign_ids,
     cur,
@@ -69,6 +70,10 @@ class ImportResult:
     def table(self, name: str) -> DataFrame:
         return self.result(self._tables[name]).table
 
+    def part(self, name: str) -> Part | None:
+        """The touched buckets of a table stored in buckets; None where the whole table is written."""
+        return self.result(self._tables[name]).part
+
     def report(self, *modules: str) -> DataFrame:
         """One row per module (all of them by default)."""
         names = modules or (*self._steps, *(["input"] if self.input is not None else []))
@@ -256,7 +261,7 @@ def _skipped_of(result: MergeResult, rows: DataFrame) -> MergeResult:
     """Count as skipped every staged identity that was neither inserted nor updated."""
     total = rows.agg(F.count(F.lit(1))).scalar()
     skipped = F.greatest(total - F.col("inserted") - F.col("updated"), F.lit(0))
-    return MergeResult(result.table, result.report.withColumn("skipped", skipped), result.paired)
+    return result.with_report(result.report.withColumn("skipped", skipped))
 
 
 def merge_location(current: DataFrame, rows: DataFrame, key: str = "resolver_id", force: bool = False, now: Column | None = None) -> MergeResult:
@@ -490,7 +495,7 @@ def merge_qmin(current: DataFrame, rows: DataFrame, resolver: DataFrame, force:
         total.alias("candidates"), F.col("candidates").alias("matched"), missing.alias("missing_resolver"), "inserted", "updated"
     )
     skipped = F.greatest(F.col("candidates") - F.col("inserted") - F.col("updated") - F.col("missing_resolver"), F.lit(0))
-    return MergeResult(result.table, report.withColumn("skipped", skipped), result.paired)
+    return result.with_report(report.withColumn("skipped", skipped))
 
 
 # ---- lookup metadata ------------------------------------------------------------------------------------
@@ -501,11 +506,11 @@ def _lookup_report(result: MergeResult, staged: DataFrame, resolved: DataFrame,
     found = resolved.agg(F.count(F.lit(1))).scalar()
     report = result.report.select(candidates.alias("candidates"), "inserted", "updated", F.col("candidates").alias("_unique"), found.alias("_found"))
     base = F.col("_found") if duplicate_of == "resolved" else F.col("candidates")
-    return MergeResult(result.table, report.select(
+    return result.with_report(report.select(
         "candidates", "inserted", "updated",
         F.greatest(F.col("candidates") - F.col("inserted") - F.col("updated"), F.lit(0)).alias("skipped"),
         (base - F.col("_unique")).alias("duplicate"), (F.col("candidates") - F.col("_found")).alias("missing_resolver"),
-    ), result.paired)
+    ))
 
 
 def _lookup_rows(df: DataFrame, v6: bool) -> DataFrame:
@@ -598,7 +603,7 @@ def _with_duplicates(result: MergeResult, stage: DataFrame) -> MergeResult:
     total = stage.agg(F.count(F.lit(1))).scalar()
     report = result.report.withColumn("duplicate", total - F.col("candidates"))
     report = report.withColumns({"skipped": F.col("skipped") + F.col("duplicate"), "candidates": total})
-    return MergeResult(result.table, report, result.paired)
+    return result.with_report(report)
 
 
 @dataclass(frozen=True)

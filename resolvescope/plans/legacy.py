@@ -6,15 +6,17 @@ depend on row order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resolvescope.functions.clean import array_to_text, clean_domain, clean_text
 from resolvescope.functions.net import with_ip_key
+from resolvescope.operators.components import connected_components
 from resolvescope.operators.merge import MergeResult, assign_ids, cur, merge, new
 from resolvescope.operators.rows import latest_by
+from resolvescope.session import materialise
 
 
 def first_known(df: DataFrame, names: Sequence[str]) -> Column:
@@ -35,9 +37,14 @@ def identity_keys(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"_domain": domain, "_name": name, "_operator": operator})
 
 
-def link_identities(rows: DataFrame, identities: DataFrame, domains: DataFrame) -> dict[str, DataFrame]:
-    """Give rows a ``resolver_identity_id``: kept if set, else by domain, else by name and
-    operator, else a new identity per distinct (domain, name, operator).
+def link_identities(rows: DataFrame, identities: DataFrame, domains: DataFrame, cut: Callable[[DataFrame], DataFrame] = materialise) -> dict[str, DataFrame]:
+    """Give rows a ``resolver_identity_id``: kept if set, else by domain, else by name and operator, else
+    that of the rows they hang together with.
+
+    Rows found in none of the tables are joined by what they share: a domain, or a name with its operator.
+    Whatever chain connects them, they are one identity, in any order of the rows. It is the smallest
+    known identity that another row of the batch ties to one of their domains (or that takes its name
+    from the batch), else a new one. Only links between evidence are walked, never rows.
 
     ``identities`` has id, name, operator, source; ``domains`` has resolver_identity_id, domain,
     source, last_observation_ts. Rows with neither name, operator nor domain stay unlinked.
@@ -51,41 +58,71 @@ def link_identities(rows: DataFrame, identities: DataFrame, domains: DataFrame)
     ).agg(F.min("id").alias("_by_name"))
     keyed = keyed.withColumns({"_lname": F.lower("_name"), "_loperator": F.coalesce(F.lower("_operator"), F.lit(""))})
     linked = keyed.join(by_domain, "_domain", "left").join(named, ["_lname", "_loperator"], "left")
-    linked = linked.withColumn("_known", F.coalesce("resolver_identity_id", "_by_domain", "_by_name"))
-    evidence = F.col("_name").isNotNull() | F.col("_operator").isNotNull() | F.col("_domain").isNotNull()
-    # rows of one domain form one new identity; without a domain, rows of one (name, operator)
-    group = F.coalesce(F.concat(F.lit("d:"), F.col("_domain")), F.concat_ws("|", F.lit("n:"), F.coalesce("_lname", F.lit("")), F.col("_loperator")))
-    linked = linked.withColumn("_group", F.when(evidence & F.col("_known").isNull(), group))
-    fresh = linked.where(F.col("_group").isNotNull()).groupBy("_group").agg(
-        F.min("_name").alias("name"), F.min("_operator").alias("operator"), F.min(clean_text(F.col("source"))).alias("source")
-    )
+    by_domain_node = F.concat(F.lit("d:"), F.col("_domain"))
+    by_name_node = F.when(F.col("_name").isNotNull() | F.col("_operator").isNotNull(), _name_node("_lname", "_loperator"))
+    linked = linked.withColumns({"_known": F.coalesce("resolver_identity_id", "_by_domain", "_by_name"), "_of_domain": by_domain_node, "_of_name": by_name_node})
+    linked = cut(linked.withColumn("_source", clean_text(F.col("source"))))
+    columns = [F.min("_name").alias("name"), F.min("_operator").alias("operator"), F.min("_source").alias("source")]
+    seen = linked.where(F.col("_known").isNotNull()).groupBy(F.col("_known").alias("id")).agg(*columns)
+
+    open_rows = linked.where(F.col("_known").isNull() & F.coalesce("_of_domain", "_of_name").isNotNull())
+    evidence = cut(open_rows.groupBy("_of_domain", "_of_name").agg(*columns))
+    groups = evidence_groups(evidence, known_evidence(linked, identities, seen), cut)
+    fresh = evidence.withColumn("node", F.coalesce("_of_domain", "_of_name")).join(groups.where(F.col("known").isNull()), "node").groupBy("group").agg(
+        *[F.min(n).alias(n) for n in ("name", "operator", "source")])
     highest = identities.agg(F.max("id")).scalar()
-    fresh = assign_ids(fresh, highest, F.pmod(F.xxhash64("_group"), F.lit(4096)), [F.col("_group")], "id")
-    linked = linked.join(fresh.select("_group", F.col("id").alias("_new")), "_group", "left")
-    linked = linked.withColumn("resolver_identity_id", F.coalesce("_known", "_new"))
-    seen = linked.where(F.col("_known").isNotNull() & F.col("resolver_identity_id").isNotNull()).groupBy(F.col("_known").alias("id")).agg(
-        F.min("_name").alias("name"), F.min("_operator").alias("operator"), F.min(clean_text(F.col("source"))).alias("source")
-    )
+    fresh = cut(assign_ids(fresh, highest, F.pmod(F.xxhash64("group"), F.lit(4096)), [F.col("group")], "id"))
+    found = groups.join(fresh.select("group", F.col("id").alias("_fresh")), "group", "left").select(F.col("node").alias("_node"), F.coalesce("known", "_fresh").alias("_found"))
+    # A row goes by its domain if it has one: its name hangs together with that.
+    linked = linked.withColumn("_node", F.when(F.col("_known").isNull(), F.coalesce("_of_domain", "_of_name"))).join(found, "_node", "left")
+    linked = linked.withColumn("resolver_identity_id", F.coalesce("_known", "_found"))
+    tied = groups.where(F.col("known").isNotNull())
+    joined = evidence.withColumn("node", F.coalesce("_of_domain", "_of_name")).join(tied, "node").select(F.col("known").alias("id"), "name", "operator", "source")
+    batch = seen.unionByName(joined).groupBy("id").agg(*[F.min(n).alias(n) for n in ("name", "operator", "source")]).unionByName(fresh.select("id", "name", "operator", "source"))
     fill = {c: F.coalesce(cur(c), new(c)) for c in ("name", "operator", "source")}
-    batch = seen.unionByName(fresh.select("id", "name", "operator", "source"))
     pairs = linked.where(F.col("_domain").isNotNull() & F.col("resolver_identity_id").isNotNull())
     stamp = F.max("last_observation_ts") if "last_observation_ts" in rows.columns else F.lit(None).cast("timestamp")
     new_domains = pairs.groupBy("resolver_identity_id", F.col("_domain").alias("domain")).agg(
-        F.min(clean_text(F.col("source"))).alias("source"), stamp.alias("last_observation_ts")
+        F.min("_source").alias("source"), stamp.alias("last_observation_ts")
     )
     lowered = domains.withColumn("domain", F.lower("domain"))
     domain_merge = merge(
         lowered, new_domains, ["resolver_identity_id", "domain"], F.lit(True),
         {"source": F.coalesce(new("source"), cur("source")), "last_observation_ts": F.greatest(cur("last_observation_ts"), new("last_observation_ts"))},
     )
-    columns = [*rows.columns, *([] if "resolver_identity_id" in rows.columns else ["resolver_identity_id"])]
+    kept = [*rows.columns, *([] if "resolver_identity_id" in rows.columns else ["resolver_identity_id"])]
     return {
-        "rows": linked.select(*columns),
+        "rows": linked.select(*kept),
         "identities": merge(identities, batch, ["id"], F.lit(True), fill).table,
         "domains": domain_merge.table,
     }
 
 
+def _name_node(name: str, operator: str) -> Column:
+    """Evidence by name and operator; the length keeps them apart."""
+    known = F.coalesce(F.col(name), F.lit(""))
+    return F.concat(F.lit("n:"), F.length(known).cast("string"), F.lit(":"), known, F.col(operator))
+
+
+def known_evidence(linked: DataFrame, identities: DataFrame, seen: DataFrame) -> DataFrame:
+    """(node, id): evidence that the batch itself ties to known identities. The domains of their rows, and
+    the name that an identity without one takes from the batch; a name it does not take ties nothing."""
+    domains = linked.where(F.col("_known").isNotNull() & F.col("_of_domain").isNotNull()).select(F.col("_of_domain").alias("node"), F.col("_known").alias("id"))
+    named = identities.where(F.col("name").isNull()).select("id", F.col("operator").alias("_own")).join(seen.where(F.col("name").isNotNull()), "id")
+    taken = named.select("id", F.lower("name").alias("_n"), F.coalesce(F.lower(F.coalesce("_own", "operator")), F.lit("")).alias("_o"))
+    both = domains.unionByName(taken.select(_name_node("_n", "_o").alias("node"), "id"))
+    return both.groupBy("node").agg(F.min("id").alias("id"))
+
+
+def evidence_groups(evidence: DataFrame, ties: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, group, known): the component of every piece of evidence, and the smallest known identity tied to it."""
+    nodes = evidence.select(F.explode(F.array("_of_domain", "_of_name")).alias("node")).where(F.col("node").isNotNull()).distinct()
+    found = connected_components(evidence, "_of_domain", "_of_name", cut)
+    grouped = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("group"))
+    known = grouped.join(ties, "node").groupBy("group").agg(F.min("id").alias("known"))
+    return cut(grouped.join(known, "group", "left").select("node", "group", "known"))
+
+
 # ---- anycast site rows ------------------------------------------------------------------------------
 
 # Synonym columns of site rows, first known one wins.

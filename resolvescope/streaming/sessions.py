@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from resolvescope.sources.versions import commit_import, open_catalog
+from resolvescope.sources.versions import newest_manifest, read_text, run_import
 
 
 def dedupe_session_stream(sessions: DataFrame, ts: str = "ts", key: str = "session", delay: str = "2 days") -> DataFrame:
@@ -17,15 +18,19 @@ def dedupe_session_stream(sessions: DataFrame, ts: str = "ts", key: str = "sessi
 
 
 def merge_stream(batches: DataFrame, root: str, checkpoint: str, job: Callable) -> StreamingQuery:
-    """Run an import for every micro-batch against the newest table versions.
+    """Run an import for every micro-batch against the newest table versions, exactly once.
 
-    ``job(tables, batch)`` returns an ImportResult. Merges are functions of (current, batch) and
-    repeating a batch changes nothing, so a replay after a failure is harmless.
+    ``job(tables, batch)`` returns an ImportResult. The manifest that makes its tables current also names
+    the stream (by the id that its checkpoint keeps over restarts) and the micro-batch. A batch that comes
+    again, because the job died after the commit and before the checkpoint, is found there and skipped. A
+    job that loses a race for a table runs again on the tables that won.
     """
 
-    def step(batch: DataFrame, _epoch: int) -> None:
+    def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        commit_import(spark, root, job(open_catalog(spark, root), batch))
+        stream = json.loads(read_text(spark, f"{checkpoint.rstrip('/')}/metadata"))["id"]
+        if newest_manifest(spark, root).streams.get(stream, -1) < epoch:
+            run_import(spark, root, lambda tables: job(tables, batch), (stream, epoch))
 
     return (
         batches.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -126,3 +126,67 @@ def test_wide_as_numbers(spark):
     assert [tuple(r) for r in feeds.extract_as_links(pages).collect()] == [(4200000000, None)]
     series = spark.createDataFrame([("AS4200000000", '{"data":[{"date":"2024-01-02","30_day":{"seen":"1"}}]}')], "asked string, payload string")
     assert [r["asn"] for r in feeds.dnssec_latest(series, "asn").collect()] == [4200000000]
+
+
+def lookup(spark, texts):
+    return readers.lookup_rows(spark.createDataFrame([(t,) for t in texts], "t string").select(F.parse_json("t").alias("row")))
+
+
+def test_lookups_of_real_size(spark):
+    """A parameter of 100,000 characters, 100,000 answers in one lookup, records 50 levels down: each is found."""
+    long = "/" + 'q"\\' * 33333
+    answers = [{"type": "PTR", "answer": f"h{i}.example."} for i in range(100_000)]
+    deep = {"type": "SVCB", "target": "deep.example.", "svcparams": {"port": 853}}
+    for level in range(50):
+        deep = {"more": [deep]} if level % 2 else {"more": deep, "text": "[{" * 20}
+    rows = lookup(spark, [
+        json.dumps({"name": "192.0.2.1", "results": {"SVCB": {"status": "NOERROR", "data": {"answers": [{"type": "SVCB", "target": "long.example.", "svcparams": {"dohpath": long}}]}}}}),
+        json.dumps({"name": "192.0.2.2", "results": {"PTR": {"status": "NOERROR", "data": {"answers": answers}}}}),
+        json.dumps({"name": "192.0.2.3", "results": {"HTTPS": {"status": "NOERROR", "data": deep}, "SVCB": {"status": "NOERROR", "data": None}}}),
+        json.dumps({"name": "192.0.2.4", "results": {"PTR": {"status": "NOERROR", "data": [[[[[[{"type": "PTR", "answer": "listed.example"}]]]]]]}}}),
+    ])
+    assert {(r.domain, r.dohpath, r.port) for r in feeds.svcb_records(rows).collect()} == {("long.example", long, None), ("deep.example", None, 853)}
+    found = feeds.ptr_domains(rows)
+    assert found.count() == 100_001 and found.where("resolver_ip = '192.0.2.2'").count() == 100_000
+    assert feeds.ptr_domain_targets(rows).count() == 100_001
+
+
+def test_lookups_read_their_input_once(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text("\n".join(json.dumps(r) for r in LOOKUPS))
+    for build in (feeds.svcb_records, feeds.ptr_domains, feeds.ptr_domain_targets):
+        plan = build(readers.read_lookup_results(spark, str(tmp_path / "r.jsonl")))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Python" not in plan
+
+
+def test_walk_keeps_to_the_plain_walk(spark):
+    """Every value of random documents, against a plain recursion."""
+    import random
+
+    draw = random.Random(6)
+
+    def value(depth):
+        kind = draw.randrange(6) if depth else 0
+        if kind < 2:
+            return draw.choice([1, "x", True, "{[", ""])
+        if kind < 4:
+            return [value(depth - 1) for _ in range(draw.randrange(4))]
+        return {f"k{i}": value(depth - 1) for i in range(draw.randrange(4))}
+
+    def walked(v):
+        yield v
+        for child in v if isinstance(v, list) else v.values() if isinstance(v, dict) else []:
+            yield from walked(child)
+
+    documents = [value(draw.choice([1, 3, 5, 9])) for _ in range(120)]
+    frame = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(documents)], "i int, t string").select("i", F.parse_json("t").alias("v"))
+    got = sorted((r.i, r.n) for r in feeds.walk(frame, "v").select("i", F.to_json("node").alias("n")).collect())
+    text = lambda v: json.dumps(v, separators=(",", ":"), sort_keys=True)
+    assert got == sorted((i, text(v)) for i, d in enumerate(documents) for v in walked(d))
+
+
+def test_network_names_of_any_length(spark):
+    name = "Net \\\" work " * 12_000
+    cell = "Plain & wide " * 12_000
+    page = f'"<a href="/dnssec/AS15?c=1">AS15</a>","{name}",1 <tr><td><a href="/dnssec/AS17">AS17</a></td><td>{cell}</td></tr>'
+    got = {r.asn: r.as_name for r in feeds.extract_as_links(spark.createDataFrame([(1, page)], "page_id int, html string")).collect()}
+    assert got == {15: name.replace('\\"', '"'), 17: cell.strip()}

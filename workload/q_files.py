@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from resolvescope.plans import scope_reports
+from resolvescope.catalog import Catalog
+from resolvescope.plans import imports, scope_reports
 from resolvescope.session import shared_folder
-from resolvescope.sources import readers, registry
-from resolvescope.streaming.sessions import dedupe_session_stream
+from resolvescope.sources import readers, registry, versions
+from resolvescope.streaming.sessions import dedupe_session_stream, merge_stream
 from workload import batches as b
 from workload.fixtures import rip
 from workload.oracle_fixtures import rip as sql_rip
@@ -111,6 +112,20 @@ def _(t):
     return t.spark.read.parquet(sink).select("session")
 
 
+@query("t02_merge_stream", f"SELECT {sql_v4(sql_rip('(o_custkey::BIGINT+1000000)'))} AS ip, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') AS last_update_ts FROM orders GROUP BY 1")
+def _(t):
+    """Orders as four micro-batches of resolver rows, merged into a table stored in buckets."""
+    source, root, marks = (folder(t, n) for n in ("in", "tables", "marks"))
+    rows = t.raw("orders").select(b.v4_text(rip(F.col("o_custkey") + 1000000)).alias("addr"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("seen"))
+    rows.repartition(4).write.parquet(source)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    versions.write_versions(t.spark, root, {"resolver": Catalog(t.spark, root).resolver})
+    versions.deal_into_buckets(t.spark, root, {"resolver": 8})
+    job = lambda tables, batch: imports.import_resolvers(tables, batch, "ip:addr,last_update_ts:seen", "resolver", "stream", now=b.now(), v6=False)
+    merge_stream(stream, root, marks, job).awaitTermination()
+    return versions.open_catalog(t.spark, root).resolver.select("ip", "last_update_ts")
+
+
 @query("m28_resolver_lists", f"SELECT DISTINCT {sql_v4(sql_rip('(o_custkey::BIGINT+1000000)'))} AS ip, 'one' AS source FROM orders UNION ALL SELECT DISTINCT {sql_v4(sql_rip('(s_suppkey::BIGINT+5000000)'))}, 'one' FROM supplier")
 def _(t):
     first, second = folder(t, "list.txt"), folder(t, "list.csv")

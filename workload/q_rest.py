@@ -499,6 +499,59 @@ def _(t):
     return out.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(i).alias("identities"), F.min(i).alias("low"), F.max(i).alias("high"))
 
 
+_CHAIN = """WITH RECURSIVE raw AS (
+   SELECT c_custkey AS k, c_custkey // 60 AS b, CASE WHEN c_custkey % 60 % 3 = 0 THEN NULL ELSE 'd' || (c_custkey // 60) || '-' || (c_custkey % 60 // 4) || '.example' END AS d,
+          CASE WHEN c_custkey % 60 % 5 = 0 THEN NULL ELSE 'n' || (c_custkey // 60) || '-' || ((c_custkey % 60 + 2) // 6) END AS own, CASE WHEN c_custkey // 60 % 2 = 0 THEN 'org' ELSE '' END AS op FROM customer
+ ), named AS (SELECT k, b, d, op, coalesce(own, d) AS nm FROM raw
+ ), known AS (SELECT DISTINCT b, b + 1 AS id FROM raw WHERE b % 3 = 0
+ ), direct AS (SELECT n.*, w.id FROM named n LEFT JOIN known w ON n.b = w.b AND n.d = 'd' || w.b || '-7.example'
+ ), taken AS (SELECT id, min(nm) || '|' || max(op) AS node FROM direct WHERE id IS NOT NULL AND b % 6 = 0 GROUP BY id
+ ), open_rows AS (SELECT k, b, d, CASE WHEN nm IS NOT NULL OR op <> '' THEN coalesce(nm, '') || '|' || op END AS n FROM direct WHERE id IS NULL
+ ), links AS (SELECT DISTINCT d AS x, n AS y FROM open_rows WHERE d IS NOT NULL AND n IS NOT NULL
+ ), both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links
+ ), nodes AS (SELECT DISTINCT coalesce(d, n) AS x FROM open_rows WHERE coalesce(d, n) IS NOT NULL UNION SELECT n FROM open_rows WHERE n IS NOT NULL
+ ), reached(x, y) AS (SELECT x, x FROM nodes UNION SELECT r.x, e.y FROM reached r JOIN both_ways e ON r.y = e.x
+ ), grouped AS (SELECT x, min(y) AS g FROM reached GROUP BY x
+ ), tied AS (SELECT g, min(id) AS id FROM grouped JOIN taken ON node = x GROUP BY g
+ ), labelled AS (SELECT k, g, t.id FROM open_rows JOIN grouped ON x = coalesce(d, n) LEFT JOIN tied t USING (g))"""
+
+
+@query("p26_linked_rows", _CHAIN + """ SELECT k, coalesce('known ' || id, 'new ' || min(k) OVER (PARTITION BY g)) AS identity FROM labelled
+   UNION ALL SELECT k, 'known ' || id FROM direct WHERE id IS NOT NULL
+   UNION ALL SELECT k, NULL FROM open_rows WHERE coalesce(d, n) IS NULL""")
+def _(t):
+    """Rows that hang together through chains of domains and names, beside known identities with and without a name."""
+    k, b_, j = F.col("c_custkey"), F.floor(F.col("c_custkey") / 60), F.col("c_custkey") % 60
+    text = lambda x: x.cast("bigint").cast("string")
+    part = lambda kind, number: F.concat(F.lit(kind), text(b_), F.lit("-"), text(F.floor(number)))
+    domain = F.when(j % 3 != 0, F.concat(part("d", j / 4), F.lit(".Example.")))
+    name = F.when(j % 5 != 0, part("n", (j + 2) / 6))
+    rows = t.raw("customer").select(
+        k, F.when(k % 2 == 0, F.upper(domain)).otherwise(domain).alias("domain"), F.when(k % 7 == 0, F.concat(F.lit(" "), F.upper(name))).otherwise(name).alias("name"),
+        F.when(b_ % 2 == 0, F.when(k % 11 == 0, "ORG").otherwise("org")).alias("operator"), F.lit("list").alias("source"))
+    known = t.raw("customer").select(b_.alias("b")).where(F.col("b") % 3 == 0).distinct().select("b", (F.col("b") + 1).alias("id"))
+    none = F.lit(None).cast("string")
+    identities = known.select("id", F.when(F.col("b") % 6 != 0, F.concat(F.lit("known "), text(F.col("id")))).alias("name"), none.alias("operator"), none.alias("source"))
+    domains = known.select(F.col("id").alias("resolver_identity_id"), F.concat(F.lit("d"), text(F.col("b")), F.lit("-7.example")).alias("domain"), F.lit("old").alias("source"), F.lit(None).cast("timestamp").alias("last_observation_ts"))
+    linked = legacy.link_identities(rows, identities, domains)["rows"].join(known.select(F.col("id").alias("_old")), F.col("resolver_identity_id") == F.col("_old"), "left")
+    first = linked.where("_old is null").groupBy(F.col("resolver_identity_id").alias("_id")).agg(F.min("c_custkey").alias("_first"))
+    out = linked.join(first, F.col("resolver_identity_id") == F.col("_id"), "left")
+    label = F.when(F.col("_old").isNotNull(), F.concat(F.lit("known "), text(F.col("_old")))).when(F.col("resolver_identity_id").isNotNull(), F.concat(F.lit("new "), text(F.col("_first"))))
+    return out.select(F.col("c_custkey").alias("k"), label.alias("identity"))
+
+
+@query("p22_nested_records", "SELECT 'svc-' || o_orderkey || '.example' AS domain, 400 + o_orderkey % 100 AS port, repeat('/q', (o_orderkey % 50 * 20)::INT) AS dohpath FROM orders")
+def _(t):
+    """Records of either module below 0 to 11 further levels, with long parameters."""
+    record = F.concat(F.lit('{"type":"HTTPS","target":"svc-'), key().cast("string"), F.lit('.example","svcparams":{"port":'), (key() % 100 + 400).cast("string"), F.lit(',"dohpath":"'),
+                      F.repeat(F.lit("/q"), (key() % 50 * 20).cast("int")), F.lit('"}}'))
+    depth = (key() % 12).cast("int")
+    nested = F.concat(F.repeat(F.lit('{"more":['), depth), record, F.repeat(F.lit("]}"), depth))
+    text = F.concat(F.lit('{"name":"192.0.2.1","results":{"'), F.when(key() % 2 == 0, "SVCB").otherwise("HTTPS"), F.lit('":{"status":"NOERROR","data":'), nested, F.lit("}}}"))
+    records = feeds.svcb_records(readers.lookup_rows(t.spread("orders").select(F.parse_json(text).alias("row"))))
+    return records.select("domain", "port", F.coalesce("dohpath", F.lit("")).alias("dohpath"))
+
+
 @query("p27_anycast_sites", "SELECT r.resolver_id, count(DISTINCT s.backend_resolver) AS sites, count(DISTINCT s.backend_resolver) AS last_instance FROM fx_scan s JOIN fx_resolver r ON r.ip=s.replying_ip WHERE s.backend_resolver IS NOT NULL GROUP BY 1")
 def _(t):
     from workload.q_merges import Tables
