@@ -41,6 +41,23 @@ def split_words(text: Column, separators: str) -> Column:
     return F.array_remove(F.split(text, f"{separators}+"), "")
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A long that names a row by its id and text, whether or not the id is null or repeated."""
+    return F.xxhash64(doc_id, text)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with underscores added until ``df`` has no such column."""
+    taken = {name.lower() for name in df.columns}
+    found = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 class Scratch:
     """Tables of one run in the cluster's shared folder; dropped at the latest when the session ends."""
 

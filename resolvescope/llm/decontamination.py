@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resolvescope.llm.common import Scratch, let, lists_of, small_batches, split_words, text_of
+from resolvescope.llm.common import Scratch, free_names, let, lists_of, small_batches, split_words, text_of
 
 MASKS = ("11101011", "1100100011", "1111111")
 """Positions that a seed keeps (1) and ignores (0). Every stretch of 13 to 25 tokens of which at least
@@ -219,5 +219,6 @@ def _bit_tables(seeds: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` whose document overlaps with no item; rows with a null id stay."""
-    found = Scratch(docs.sparkSession).cut(find_overlaps(docs, benchmark, doc_id, text).where("doc_id is not null").select(F.col("doc_id").alias("_overlapping")).distinct())
-    return docs.join(found.hint("shuffle_hash"), docs[doc_id] == F.col("_overlapping"), "left_anti")
+    (overlapping,) = free_names(docs, "overlapping")
+    found = Scratch(docs.sparkSession).cut(find_overlaps(docs, benchmark, doc_id, text).where("doc_id is not null").select(F.col("doc_id").alias(overlapping)).distinct())
+    return docs.join(found.hint("shuffle_hash"), docs[doc_id] == F.col(overlapping), "left_anti")

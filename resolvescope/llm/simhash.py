@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from resolvescope.llm.common import Scratch, arrow_columns, ascii_lower, components, let, lists_of, small_batches, split_words, text_of
+from resolvescope.llm.common import Scratch, arrow_columns, ascii_lower, components, free_names, let, lists_of, row_key, small_batches, split_words, text_of
 
 SPACE = r"[\x20\x09-\x0D]"
 AT_ONCE = 1 << 17
@@ -77,6 +77,15 @@ def linked_fingerprints(scratch: Scratch, distinct: DataFrame) -> DataFrame:
     return links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
 
 
+def grouped_fingerprints(scratch: Scratch, marked: DataFrame, order: Column) -> DataFrame:
+    """(fp, first): for each fingerprint of ``marked`` the smallest ``order`` among the rows reachable over its links."""
+    by_print = scratch.cut(marked.groupBy("fp").agg(F.min(order).alias("least")))
+    roots = components(scratch, linked_fingerprints(scratch, by_print.select("fp")))
+    grouped = by_print.join(roots, by_print.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = grouped.groupBy("root").agg(F.min("least").alias("first"))
+    return scratch.cut(grouped.join(smallest, "root").select("fp", "first"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable over links
     of at most 2 differing bits.
@@ -89,27 +98,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marked = scratch.cut(fingerprints(own, ["doc_id"], "text", size))
-    by_print = scratch.cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(scratch, linked_fingerprints(scratch, by_print.select("fp")))
-    grouped = by_print.join(roots, by_print.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.cut(grouped.join(smallest, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = grouped_fingerprints(scratch, marked, F.col("doc_id"))
+    return marked.join(named, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: that of the smallest id.
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, keep_nameless: bool = True) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of the smallest id.
 
-    Of rows that repeat a doc_id one stays. Rows with a null doc_id stay, as no group can name them.
+    Rows are told apart by id and text, so a repeated id loses only the rows whose own text is a copy, and
+    of rows that repeat both one stays. Rows with a null doc_id stay, as no id can name their group;
+    without ``keep_nameless`` they are treated like others, and stay only where a group has no id at all.
+    Further columns, whatever their names, are kept as they are; an empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.cut(near_duplicates(docs, doc_id, text))
-    known = found.where("doc_id is not null")
-    losers = known.where("doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct()
-    left = docs.join(losers.hint("shuffle_hash"), docs[doc_id] == F.col("_loser"), "left_anti")
-    repeated = scratch.cut(known.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
-    if repeated.isEmpty():
-        return left
-    once = left.join(repeated, left[doc_id] == F.col("_again"), "left_anti")
-    again = left.join(repeated, left[doc_id] == F.col("_again"), "left_semi").dropDuplicates([doc_id])
-    return once.unionByName(again)
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
+    marked = scratch.cut(fingerprints(own, ["doc_id", "key"], "text", size))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
+    named = grouped_fingerprints(scratch, marked, order)
+    touched = marked if not keep_nameless else marked.where("doc_id is not null")
+
+    key, loser, again = free_names(docs, "key", "loser", "again")
+    other = (F.col("key") != F.col("first.key")) | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    losers = touched.join(named, "fp").where(other).select(F.col("key").alias(loser), F.col("doc_id").alias(again)).distinct()
+    keyed = docs.withColumn(key, row_key(doc_id, text))
+    same = lambda right: (F.col(key) == F.col(loser)) & keyed[doc_id].eqNullSafe(right[again])
+    losers = scratch.cut(losers)
+    left = keyed.join(losers.hint("shuffle_hash"), same(losers), "left_anti")
+    repeated = scratch.cut(touched.groupBy(F.col("key").alias(loser), F.col("doc_id").alias(again)).count().where("count > 1").drop("count"))
+    if not repeated.isEmpty():
+        once = left.join(repeated, same(repeated), "left_anti")
+        left = once.unionByName(left.join(repeated, same(repeated), "left_semi").dropDuplicates([key, doc_id]))
+    return left.drop(key)

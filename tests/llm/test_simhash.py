@@ -77,3 +77,13 @@ def test_one_of_each(docs, rows):
     assert simhash.one_of_each(frame.limit(0)).count() == 0
     ids = rows(simhash.near_duplicates(frame), "doc_id", "component_id")
     assert (None, 2) in ids and (None, 7) in ids and ids.count((2, 2)) == 2
+
+
+def test_one_row_of_each_group_by_row(table, rows):
+    """Rows are told apart by id and text, ids or not; columns named like the operator's own stay."""
+    schema = "doc_id long, text string, key string, fp int, loser int, again string, row int"
+    texts = [(5, "a b c d"), (2, "a b c d"), (2, "a b c d"), (2, "other words stand here"), (9, "other words stand here"), (None, "a b c d"), (None, "nameless one two"), (None, "nameless one two"), (7, None), (None, "")]
+    frame = table([(*r, "k", 1, 2, "z", 3) for r in texts], schema)
+    kept = simhash.one_of_each(frame, keep_nameless=False)
+    assert kept.columns == frame.columns
+    assert rows(kept) == sorted([(2, "a b c d", "k", 1, 2, "z", 3), (2, "other words stand here", "k", 1, 2, "z", 3), (None, "nameless one two", "k", 1, 2, "z", 3), (7, None, "k", 1, 2, "z", 3)], key=lambda r: [(v is not None, v) for v in r])
