@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from resolvescope.llm import decontamination, shingle_join, toxicity
-from resolvescope.llm.common import Scratch, read_table
+from resolvescope.llm import decontamination, simhash, toxicity
+from resolvescope.llm.common import Scratch, free_names, read_table, row_key
 from resolvescope.llm.queries import documents_mixture
 
 
@@ -15,14 +15,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word shingle sets with a Jaccard of at least 0.8."""
-    return shingle_join.one_of_each(docs)
+    """One document of each group of fingerprints linked at 2 or fewer differing bits, over three-word shingles."""
+    return simhash.one_of_each(docs, keep_nameless=False)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no passage with ``benchmark``; rows are named by id and text, as ids may be missing or repeated."""
-    keyed = docs.withColumn("_row", shingle_join.row_key())
-    return decontamination.without_overlaps(keyed, read_table(spark, sf_dir, "benchmark"), "_row").drop("_row")
+    (row,) = free_names(docs, "row")
+    return decontamination.without_overlaps(docs.withColumn(row, row_key()), read_table(spark, sf_dir, "benchmark"), row).drop(row)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
