@@ -1,9 +1,11 @@
 """License scans by diagonal voting.
 
 Rolling word k-gram hashes of every text are joined with the k-gram positions of license templates.
-Hits of one template vote for the diagonal ``place in text - place in template``; neighbouring
-diagonals, which an inserted or missing word sets apart, are merged, and a merged span counts when it
-holds enough of the template within a plausible length. DataFrame functions only.
+Hits of one template vote for the diagonal ``place in text - place in template``. Each diagonal is judged
+by itself; neighbouring diagonals, which an inserted or missing word sets apart, are merged, and a merged
+span counts too when it holds enough of the template within a plausible length. So a notice that stands
+twice in a row is found by its own diagonals, though the two merge to a span that is too long.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from resolvescope.llm.common import ascii_lower, let, split_words, text_of
+from resolvescope.llm.common import Scratch, ascii_lower, let, split_words, text_of
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 
@@ -103,12 +105,13 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     without a hit have empty labels. Null and empty texts have no words; rows with a null doc_id are
     scanned too; repeated rows give repeated rows; extra columns are ignored.
 
-    Nothing but hits is shuffled, and the k-grams meet the constant template table map-side.
+    Nothing but hits is shuffled, and the k-grams meet the constant template table map-side. The hits are
+    written once, so whole texts are read and cut into k-grams once.
     """
     key = ["doc_id", "digest", "n_words"]
     size = [len(t.words()) for t in templates]
     number = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("template") + 1)
-    hits = license_hits(docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")), templates)
+    hits = Scratch(docs.sparkSession).cut(license_hits(docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")), templates))
     kind = F.when(F.col("template") < 0, "mark").otherwise(number(["base" if t.base else "own" for t in templates]))
     hits = hits.withColumn("label", F.when(F.col("template") >= 0, number([t.label for t in templates]))).withColumn("kind", kind)
 
@@ -116,10 +119,12 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     voted = hits.where("kind = 'own'").withColumn("diagonal", F.col("start") - F.col("at"))
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > GAP, F.lit(True))
     merged = voted.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy(*key, "template", "label", "span").agg(
-        F.size(F.collect_set("at")).alias("votes"), (F.max("start") - F.min("start") + 3).alias("length"))
-    verified = spans.withColumn("share", F.col("votes") / number([len(t.grams()) for t in templates])).where(
-        (F.col("share") >= COVERED) & (F.col("length") <= number([float(n) for n in size]) * STRETCH))
+    alone = merged.withColumn("own_votes", F.count(F.lit(1)).over(Window.partitionBy(*key, "template", "diagonal")))
+    spans = alone.groupBy(*key, "template", "label", "span").agg(
+        F.max("own_votes").alias("own_votes"), F.size(F.collect_set("at")).alias("votes"), (F.max("start") - F.min("start") + 3).alias("length"))
+    grams = number([len(t.grams()) for t in templates])
+    fits = F.col("length") <= number([float(n) for n in size]) * STRETCH
+    verified = spans.withColumn("share", F.when(fits, F.col("votes")).otherwise(F.col("own_votes")) / grams).where(F.col("share") >= COVERED)
 
     parts = hits.where("kind <> 'own'").select(*key, "kind", "label", "start", "copies", F.lit(0.0).alias("share")).unionByName(
         verified.select(*key, F.lit("own").alias("kind"), "label", F.lit(None).cast("long").alias("start"), F.lit(0).cast("long").alias("copies"), "share"))
@@ -156,9 +161,13 @@ docs AS (
     SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal, place ROWS UNBOUNDED PRECEDING) AS span FROM
     (SELECT doc_id, template, label, size, n_grams, place, start, diagonal, CASE WHEN diagonal - lag(diagonal) OVER w <= {GAP} THEN 0 ELSE 1 END AS apart
      FROM voted WINDOW w AS (PARTITION BY doc_id, template ORDER BY diagonal, place))
+), alone AS (
+    SELECT *, count(*) OVER (PARTITION BY doc_id, template, diagonal) AS own_votes FROM merged
+), spans AS (
+    SELECT doc_id, label, n_grams, CASE WHEN max(start) - min(start) + 3 <= size * {STRETCH}::DOUBLE THEN count(DISTINCT place) ELSE max(own_votes) END AS votes
+    FROM alone GROUP BY doc_id, template, label, size, n_grams, span
 ), verified AS (
-    SELECT doc_id, label, count(DISTINCT place) * 1.0::DOUBLE / n_grams AS share FROM merged GROUP BY doc_id, template, label, size, n_grams, span
-    HAVING count(DISTINCT place) * 1.0::DOUBLE / n_grams >= {COVERED} AND max(start) - min(start) + 3 <= size * {STRETCH}::DOUBLE
+    SELECT doc_id, label, votes * 1.0::DOUBLE / n_grams AS share FROM spans WHERE votes * 1.0::DOUBLE / n_grams >= {COVERED}
 ), parts AS (
     SELECT doc_id, label, true AS base, start, 0.0::DOUBLE AS share FROM hits WHERE base
     UNION ALL SELECT doc_id, label, false, NULL, share FROM verified

@@ -29,6 +29,20 @@ def test_places_and_labels(docs, rows):
     assert scan_licenses(docs([])).count() == 0
 
 
+def test_notices_that_follow_each_other(spark, table, rows):
+    """Each stands there in full, on a diagonal of its own, though together they are too long for one; also in SQL."""
+    notice = "All rights reserved. "
+    texts = [(1, notice * 2), (2, notice * 5 + "the end"), (3, f"{MIT} {MIT}"), (4, "rights reserved. rights reserved."), (5, f"{notice}word {notice}"), (6, "All rights are reserved")]
+    schema = "doc_id long, text string, label string, start int, span int, hash long, digest string"
+    frame = table([(*t, "x", 1, 2, 3, "y") for t in texts], schema)  # columns named like the operator's own
+    got = {r[0]: r[6:] for r in rows(scan_licenses(frame), *NAMES)}
+    assert got == {1: ("proprietary", 1.0), 2: ("proprietary", 1.0), 3: ("mit", 1.0), 4: ("", 0.0), 5: ("proprietary", 1.0), 6: ("", 0.0)}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    assert {r[0]: r[6:] for r in db.execute(f"SELECT {', '.join(NAMES)} FROM ({scan_sql()})").fetchall()} == got
+
+
 def test_equals_duckdb(spark, rows):
     path = "/root/testdata/sf0.001/documents.parquet"
     db = duckdb.connect()

@@ -46,3 +46,20 @@ def test_benchmark_stage_with_repeated_and_missing_ids(spark, docs):
     kept = corpus_pipeline.drop_benchmark_passages(spark, frame, SF)
     assert kept.columns == frame.columns
     assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(1, "a clean text"), (None, "another clean text"), (2, None)}
+
+
+def test_stages_keep_columns_with_clashing_names(spark, table):
+    """Repeated rows, missing ids and columns that are named like the stages' own."""
+    leak = read_table(spark, SF, "benchmark").first()["text"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, _row int, overlapping string, score string"
+    texts = [(1, leak), (1, "a clean text of some words"), (2, "a clean text of some words"), (None, leak), (None, "another clean text"), (None, "another clean text"), (3, None)]
+    frame = table([(i, t, "en", "src1", 3, "r", "k", 4, "o", "s") for i, t in texts], schema)
+    benchmark = corpus_pipeline.drop_benchmark_passages(spark, frame, SF)
+    assert benchmark.columns == frame.columns and {tuple(r)[2:] for r in benchmark.collect()} == {("en", "src1", 3, "r", "k", 4, "o", "s")}
+    single = corpus_pipeline.drop_near_duplicates(spark, frame, SF)
+    assert single.columns == frame.columns
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in single.collect()))) == sorted(map(repr, [(1, leak), (1, "a clean text of some words"), (None, "another clean text"), (3, None)]))
+    toxic = corpus_pipeline.drop_toxic(spark, frame, SF)
+    assert toxic.columns == frame.columns
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), SF).collect() == []
