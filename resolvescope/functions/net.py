@@ -2,45 +2,23 @@
 
 An address is (family, ip_hi, ip_lo): IPv4 keeps ip_hi = 0 and the unsigned 32-bit value in
 ip_lo, IPv6 keeps the high and low 64 bits. A prefix adds masklen and stores its network in
-net_hi, net_lo. Everything after ingest works on these integers inside codegen; only text that
-is not plain IPv4 visits Python, in Arrow batches, and IPv4 rows are sent there as nulls.
+net_hi, net_lo. Text of both families is read and written by column expressions, so nothing leaves
+the engine.
 """
 
 from __future__ import annotations
 
 import ipaddress
-import sys
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# The two parsers below travel to executors by value, so workers need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WHITESPACE = " \t\n\r\x0b\x0c"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 V4_PATTERN = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 V4_PREFIX_PATTERN = rf"^{OCTET}(?:\.{OCTET}){{3}}(?:/(?:[0-9]|[12][0-9]|3[0-2]))?$"
 
-IP_SCHEMA = (
-    T.StructType()
-    .add("ip", T.StringType())
-    .add("family", T.ByteType())
-    .add("hi", T.LongType())
-    .add("lo", T.LongType())
-)
-PREFIX_SCHEMA = (
-    T.StructType()
-    .add("prefix", T.StringType())
-    .add("family", T.ByteType())
-    .add("masklen", T.IntegerType())
-    .add("hi", T.LongType())
-    .add("lo", T.LongType())
-)
-
 # Special-purpose address blocks that are not globally reachable, and the
 # blocks inside them that are (IANA special-purpose address registries).
 NOT_GLOBAL = (
@@ -142,47 +120,86 @@ def _halves(number: int) -> tuple[int, int]:
     return _signed(number >> 64), _signed(number & 0xFFFFFFFFFFFFFFFF)
 
 
-def _one_ip(text):
-    try:
-        address = ipaddress.ip_address(text)
-    except ValueError:
-        return None
-    if getattr(address, "scope_id", None):
-        return None
-    return (str(address), address.version, *_halves(int(address)))
+# ---- IPv6 text, in the engine -------------------------------------------------------------------
 
+HEXTET = "[0-9a-f]{1,4}"
+V6_PATTERN = f"^(?:{HEXTET}:){{7}}{HEXTET}$"
+V6_SHORT_PATTERN = f"^(?:{HEXTET}(?::{HEXTET}){{0,6}})?::(?:{HEXTET}(?::{HEXTET}){{0,6}})?$"
+LONGEST_V6 = 45
+"""Characters of an address at most: six hextets and an IPv4 tail."""
 
-def _one_prefix(text):
-    try:
-        network = ipaddress.ip_network(text, strict=False)
-    except ValueError:
-        return None
-    return (
-        str(network),
-        network.version,
-        network.prefixlen,
-        *_halves(int(network.network_address)),
-    )
 
+def _hextets(value: Column, shifts: tuple[int, ...]) -> list[Column]:
+    return [F.lower(F.hex(F.shiftrightunsigned(value, s).bitwiseAND(0xFFFF))) for s in shifts]
 
-def _struct_frame(series: pd.Series, convert, names: list[str]) -> pd.DataFrame:
-    known = {text: convert(text) for text in series.dropna().unique()}
-    blank = (None,) * len(names)
-    rows = [(known.get(text) or blank) if isinstance(text, str) else blank for text in series]
-    frame = pd.DataFrame(rows, columns=names, dtype=object)
-    for name in names[1:]:
-        frame[name] = frame[name].astype("Int64")
-    return frame
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once. As a lambda variable it is never written out into the
+    places that use it, so expressions over many steps stay as long as they look."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _joined(parts: list[Column]) -> list[Column]:
+    return [x for part in parts for x in (part, F.lit(":"))][:-1]
+
+
+def v6_halves(text: Column) -> Column:
+    """Struct (hi, lo) of the 64-bit halves of IPv6 text; null for anything that is not an address.
+
+    An IPv4 tail becomes two hextets and ``::`` as many zeros as are missing, so that eight are left.
+    """
 
-@F.pandas_udf(IP_SCHEMA)
-def _parse_ip(text: pd.Series) -> pd.DataFrame:
-    return _struct_frame(text, _one_ip, ["ip", "family", "hi", "lo"])
+    def without_tail(low: Column) -> Column:
+        tail = F.regexp_extract(low, rf":({OCTET}(?:\.{OCTET}){{3}})$", 1)
 
+        def replaced(tail: Column) -> Column:
+            pair = _let(v4_number(tail), lambda n: F.concat(*_joined([F.lower(F.hex(F.shiftright(n, 16))), F.lower(F.hex(n.bitwiseAND(0xFFFF)))])))
+            return F.when(tail != "", F.concat(F.substring(low, F.lit(1), F.length(low) - F.length(tail)), pair))
 
-@F.pandas_udf(PREFIX_SCHEMA)
-def _parse_prefix(text: pd.Series) -> pd.DataFrame:
-    return _struct_frame(text, _one_prefix, ["prefix", "family", "masklen", "hi", "lo"])
+        return F.when(low.contains("."), _let(tail, replaced)).otherwise(low)
+
+    def hextets(full: Column) -> Column:
+        gap = F.instr(full, "::")
+        sides = lambda at: F.struct(
+            F.array_remove(F.split(F.substring(full, F.lit(1), at - 1), ":"), "").alias("left"), F.array_remove(F.split(F.substring(full, at + 2, F.length(full)), ":"), "").alias("right"))
+        filled = lambda s: F.when(F.size(s["left"]) + F.size(s["right"]) < 8, F.concat(s["left"], F.array_repeat(F.lit("0"), 8 - F.size(s["left"]) - F.size(s["right"])), s["right"]))
+        return F.when(full.rlike(V6_PATTERN), F.split(full, ":")).when(full.rlike(V6_SHORT_PATTERN), _let(_let(gap, sides), filled))
+
+    def halves(eight: Column) -> Column:
+        half = lambda start: F.conv(F.array_join(F.transform(F.slice(eight, start, 4), lambda h: F.lpad(h, 4, "0")), ""), 16, -10).cast("bigint")
+        return F.when(eight.isNotNull(), F.struct(half(1).alias("hi"), half(5).alias("lo")))
+
+    low = F.when(text.contains(":") & (F.length(text) <= LONGEST_V6), F.translate(text, "ABCDEF", "abcdef"))
+    return _let(_let(_let(low, without_tail), hextets), halves)
+
+
+def v6_text(hi: Column, lo: Column) -> Column:
+    """Canonical text of an IPv6 address: hextets without leading zeros, the longest run of two or more
+    zeros (the first of equal ones) as ``::``, an IPv4-mapped address with its IPv4 text."""
+
+    def shortened(text: Column) -> Column:
+        short = text
+        for zeros in range(2, 9):  # the longest is asked for first
+            run = ":" + "0:" * zeros
+            at = F.instr(text, run)
+            short = F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.lit("::"), F.substring(text, at + len(run), F.length(text)))).otherwise(short)
+        return F.regexp_replace(F.regexp_replace(short, "^:(?!:)", ""), "(?<!:):$", "")
+
+    shifts = (48, 32, 16, 0)
+    mapped = (hi == 0) & (F.shiftrightunsigned(lo, 32) == 0xFFFF)
+    long = F.concat(F.lit(":"), *_joined(_hextets(hi, shifts) + _hextets(lo, shifts)), F.lit(":"))
+    return F.when(mapped, F.concat(F.lit("::ffff:"), v4_text(lo.bitwiseAND(0xFFFFFFFF)))).when(hi.isNotNull(), _let(long, shortened))
+
+
+def mask_length(text: Column, family: Column) -> Column:
+    """Length that stands after the slash of a prefix: digits, or for IPv4 also a netmask or host mask; null if it is none."""
+    digits = F.when(text.rlike("^[0-9]+$"), F.regexp_replace(text, "^0+(?=[0-9])", ""))
+    most = F.when(family == 4, 32).otherwise(128)
+    number = F.when(F.length(digits) <= 3, digits.cast("int"))
+    mask = v4_number(text)
+    rest = F.lit(0xFFFFFFFF) - mask
+    dotted = F.when(rest.bitwiseAND(rest + 1) == 0, 32 - F.bit_count(rest)).when(mask.bitwiseAND(mask + 1) == 0, 32 - F.bit_count(mask))
+    return F.when(number <= most, number).when((family == 4) & mask.isNotNull(), dotted)
 
 
 def with_ip_key(df: DataFrame, col: str = "ip", out: str = "ip", v6: bool = True) -> DataFrame:
@@ -190,7 +207,7 @@ def with_ip_key(df: DataFrame, col: str = "ip", out: str = "ip", v6: bool = True
 
     Text that is not an address gives null in all four. Key columns are named ``family, ip_hi,
     ip_lo`` for ``out="ip"`` and ``<out>_family, <out>_hi, <out>_lo`` otherwise. Pass
-    ``v6=False`` for feeds that carry IPv4 only: the plan then has no Python stage.
+    ``v6=False`` for feeds that carry IPv4 only; other text then gives nulls without being looked at.
     """
     names = key_names(out)
     # The split text is a column of its own so that it is computed once per row, and "is it an
@@ -205,8 +222,10 @@ def with_ip_key(df: DataFrame, col: str = "ip", out: str = "ip", v6: bool = True
         "lo": F.when(v4, _from_octets(octets)),
     }
     if v6:
-        split = split.withColumn("_v6", _parse_ip(F.when(text.contains(":"), text)))
-        fields = {n: c.otherwise(F.col(f"_v6.{n}")) for n, c in fields.items()}
+        split = split.withColumn("_v6", v6_halves(text))
+        hi, lo = F.col("_v6.hi"), F.col("_v6.lo")
+        other = {"ip": v6_text(hi, lo), "family": F.when(F.col("_v6").isNotNull(), F.lit(6).cast("tinyint")), "hi": hi, "lo": lo}
+        fields = {n: c.otherwise(other[n]) for n, c in fields.items()}
     columns = dict(zip([out, *names], fields.values()))
     return split.withColumns(columns).drop("_text", "_octets", "_v6")
 
@@ -234,13 +253,45 @@ def with_prefix_key(df: DataFrame, col: str = "prefix", out: str = "prefix", v6:
         "lo": F.when(v4, network),
     }
     if v6:
-        split = split.withColumn("_other", _parse_prefix(F.when(parts.isNull() & (text != ""), text)))
+        split = split.withColumn("_other", other_prefix(F.when(parts.isNull() & (text != ""), text)))
         fields = {n: c.otherwise(F.col(f"_other.{n}")) for n, c in fields.items()}
     lead = "" if out == "prefix" else f"{out}_"
     columns = dict(zip([out, f"{lead}family", f"{lead}masklen", f"{lead}net_hi", f"{lead}net_lo"], fields.values()))
     return split.withColumns(columns).drop("_text", "_parts", "_length", "_network", "_other")
 
 
+def other_prefix(text: Column) -> Column:
+    """Struct (prefix, family, masklen, hi, lo) of prefix text that is not plain IPv4: IPv6, IPv4 with a
+    mask or a padded length. Null for anything that is not a prefix; a zone is left out, as a network has none."""
+    no = F.lit(0).cast("bigint")
+
+    def address(split: Column) -> Column:
+        v4 = v4_number(split["address"])
+        v6 = v6_halves(F.regexp_replace(split["address"], "(?<=.)%[^%]+$", ""))
+        return _let(F.struct(v4.alias("v4"), v6.alias("v6"), split["mask"].alias("mask")), measured)
+
+    def measured(a: Column) -> Column:
+        family = F.when(a["v4"].isNotNull(), 4).when(a["v6"].isNotNull(), 6)
+        bare = F.when(family == 4, 32).otherwise(128)
+        length = F.when(a["mask"].isNull(), bare).otherwise(mask_length(a["mask"], family))
+        low = F.coalesce(a["v4"], a["v6"]["lo"])
+        return _let(F.struct(family.alias("family"), length.alias("length"), F.coalesce(a["v6"]["hi"], no).alias("hi"), low.alias("lo")), network)
+
+    def network(k: Column) -> Column:
+        hi, lo = masked(k["family"], k["hi"], k["lo"], k["length"])
+        known = k["family"].isNotNull() & k["length"].isNotNull()
+        return _let(F.when(known, F.struct(k["family"].alias("family"), k["length"].alias("length"), hi.alias("hi"), lo.alias("lo"))), shown)
+
+    def shown(n: Column) -> Column:
+        text = F.when(n["family"] == 4, v4_text(n["lo"])).otherwise(v6_text(n["hi"], n["lo"]))
+        return F.when(n.isNotNull(), F.struct(
+            F.concat(text, F.lit("/"), n["length"].cast("string")).alias("prefix"), n["family"].cast("tinyint").alias("family"), n["length"].cast("int").alias("masklen"), n["hi"].alias("hi"), n["lo"].alias("lo")))
+
+    slash = F.instr(text, "/")
+    parts = F.struct(F.when(slash > 0, F.substring(text, F.lit(1), slash - 1)).otherwise(text).alias("address"), F.when(slash > 0, F.substring(text, slash + 1, F.length(text))).alias("mask"))
+    return _let(parts, address)
+
+
 def canonical_prefix(df: DataFrame, col: str, v6: bool = True) -> DataFrame:
     """Replace prefix text by its canonical form, without keeping the key columns."""
     kept = df.columns if col in df.columns else [*df.columns, col]

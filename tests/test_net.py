@@ -1,4 +1,5 @@
 import ipaddress
+import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from resolvescope.functions import net
 from resolvescope.operators import containment as c
+from resolvescope.session import materialise
 
 TEXTS = [
     " 1.2.3.4\t", "01.2.3.4", "256.1.1.1", "1.2.3", "2001:DB8:0:0:0::1", "2001:db8:0:0:1:0:0:0", "::", "::ffff:1.2.3.4",
@@ -45,6 +47,58 @@ def test_v4_only_key_has_no_python_stage(spark):
     assert "Python" not in net.with_ip_key(df, v6=False)._jdf.queryExecution().executedPlan().toString()
 
 
+def v6_spellings(draw):
+    """An address in one of its many spellings, often with zeros, sometimes broken."""
+    groups = [draw.choice([0, 0, 0, draw.getrandbits(16), 0xFFFF, draw.getrandbits(4)]) for _ in range(8)]
+    if draw.random() < 0.15:
+        groups[:6] = [0, 0, 0, 0, 0, draw.choice([0, 0xFFFF, 0xFFFF])]
+    shown = [draw.choice([f"{g:x}", f"{g:04x}", f"{g:X}"]) for g in groups]
+    if draw.random() < 0.2:
+        shown[6:] = [".".join(str(b) for b in (groups[6] >> 8, groups[6] & 255, groups[7] >> 8, groups[7] & 255))]
+    text = ":".join(shown)
+    if draw.random() < 0.4:
+        start = draw.randrange(len(shown))
+        end = draw.randrange(start, len(shown) + 1)
+        text = ":".join(shown[:start]) + "::" + ":".join(shown[end:])
+    if draw.random() < 0.2:
+        at = draw.randrange(len(text) + 1)
+        text = text[:at] + draw.choice([":", "::", "g", "0", "00000", "%", "%eth0", ".", "1.2.3.4", " ", "/"]) + text[at + draw.randrange(2):]
+    return text
+
+
+def test_random_addresses_and_prefixes_equal_the_standard_library(spark):
+    draw = random.Random(11)
+    ips = sorted({v6_spellings(draw) for _ in range(100_000)} | {f"::ffff:{draw.getrandbits(8)}.{draw.getrandbits(8)}.0.{draw.getrandbits(9)}" for _ in range(5_000)})
+    lengths = ["", "/64", "/0", "/128", "/129", "/064", "/", "/255.255.0.0", "/0.0.0.255", "/255.0.255.0", "/32", "/08", "/33", "/a", "/1/2", "/+4", "/0000000000000000000000000000012"]
+    v4 = lambda: f"{draw.getrandbits(8)}.{draw.randrange(300)}.{draw.getrandbits(8)}.{draw.getrandbits(8)}"
+    prefixes = sorted({(v6_spellings(draw) if draw.random() < 0.7 else v4()) + draw.choice([*lengths, f"/{draw.randrange(130)}"]) for _ in range(30_000)})
+
+    def address(text):
+        ip = python_ip(text)
+        return (None,) * 4 if ip is None or ip.version == 4 else (str(ip), 6, signed(int(ip) >> 64), signed(int(ip) & (1 << 64) - 1))
+
+    def network(text):
+        try:
+            n = ipaddress.ip_network(text.strip(), strict=False)
+        except ValueError:
+            return (None,) * 5
+        n = ipaddress.ip_network(f"{str(n[0]).partition('%')[0]}/{n.prefixlen}")  # the library leaves some networks their zone
+        return str(n), n.version, n.prefixlen, signed(int(n[0]) >> 64), signed(int(n[0]) & (1 << 64) - 1)
+
+    keyed = net.with_ip_key(spark.createDataFrame([(t,) for t in ips], "t string").repartition(4), "t")
+    got = {r.t: (r.ip, r.family, r.ip_hi, r.ip_lo) for r in keyed.collect()}
+    assert [(t, got[t], address(t)) for t in ips if got[t] != address(t)][:5] == [] and len(got) == len(ips)
+    keyed = net.with_prefix_key(spark.createDataFrame([(t,) for t in prefixes], "t string").repartition(4), "t")
+    got = {r.t: (r.prefix, r.family, r.masklen, r.net_hi, r.net_lo) for r in keyed.collect()}
+    assert [(t, got[t], network(t)) for t in prefixes if got[t] != network(t)][:5] == [] and len(got) == len(prefixes)
+
+
+def test_address_text_never_leaves_the_engine(spark):
+    df = spark.createDataFrame([("2001:db8::1", "2001:db8::/32")], "ip string, prefix string")
+    for keyed in (net.with_ip_key(df), net.with_prefix_key(df)):
+        assert "Python" not in keyed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_prefix_keys_match_the_standard_library(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(PREFIXES)], "i int, prefix string")
     for row in net.with_prefix_key(df).collect():
@@ -69,7 +123,7 @@ def test_global_addresses(spark):
 def frames(spark, ips, prefixes):
     a = net.with_ip_key(spark.createDataFrame([(i,) for i in ips], "ip string"))
     b = net.with_prefix_key(spark.createDataFrame([(p,) for p in prefixes], "prefix string"))
-    return a, b
+    return materialise(a), materialise(b)  # as stored tables are: keys, not texts to be parsed again
 
 
 def brute(ips, prefixes):
