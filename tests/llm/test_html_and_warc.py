@@ -2,6 +2,9 @@ import base64
 import gzip
 import hashlib
 import io
+import random
+import re
+import time
 
 import duckdb
 import numpy as np
@@ -32,6 +35,116 @@ def test_main_text(html, text):
     assert hx.main_text(html) == text
 
 
+NAV, SIDE, FOOT = "<nav><a href=1>Home</a> <a href=2>News</a></nav>", "<aside>Most read today</aside>", "<footer>Contact and imprint</footer>"
+ARTICLE = f"<h1>Title</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p>"
+BODY = f"Title\n{LONG.strip()}\nShort one.\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<body>{NAV}<div class='layout has-sidebar'><article>{ARTICLE}</article>{SIDE}</div>{FOOT}", BODY),
+    (f"<body>{NAV}<article class='post no-comments'>{ARTICLE}</article>{FOOT}", BODY),
+    (f"<body><form id=page method=post>{NAV}<div><div>{ARTICLE}</div></div>{SIDE}<input name=q></form></body>", BODY),
+    (f"<body><div id='sidebar-layout'>{NAV}<main>{ARTICLE}<form>Your mail: <input></form></main></div>", BODY),  # a wrapper, and a form in it
+    (f"<article>{ARTICLE}</article><section id=comments>{''.join(f'<p>{LONG} {i}</p>' for i in range(40))}</section>", BODY),  # comments outweigh the article
+    (f"<div class='post comments-open'>{ARTICLE}<div class=comments>{LONG * 30}</div></div>", BODY),
+    (f"<div>{ARTICLE}</div><div class='cookie-notice'>{LONG * 3}</div><div class='ad'>{LONG * 2}</div><nav>{'<a href=x>Section</a><br>' * 60}</nav>", BODY),
+    (f"<article>{ARTICLE}<ul><li><a href=1>More</a><li><a href=2>Like</a><li><a href=3>This</a></ul></article>", BODY),
+    ("<div class=menu><a href=1>a</a></div>", ""),
+])
+def test_names_do_not_silence_the_article(html, text):
+    assert hx.main_text(html) == text
+
+
+def test_scores_pick_the_content(monkeypatch):
+    """A teaser in an article element loses to the rich part of the page; with flat scores it would not."""
+    page = f"<body><article><h2><a href=1>Also new</a></h2></article><div><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><p>Tail.</p></div></body>"
+    assert hx.main_text(page) == "\n".join([LONG.strip()] * 3)
+    monkeypatch.setattr(hx, "smoothed", lambda ratios, sigma=1.0: np.ones(len(ratios)))
+    assert hx.main_text(page) != "\n".join([LONG.strip()] * 3)
+
+
+def plain_selection(html):
+    """The selection by its rules, over whole chains of ancestors."""
+    parser = hx.Lines()
+    parser.feed(html)
+    parser.close()
+    chain = lambda tree, i: [] if i < 0 else [i, *chain(tree, tree[i][0])]
+    regions = [(parent, name) for name, parent in parser.regions]
+    lines = [(" ".join("".join(x.parts).split()), set(chain(regions, x.region)), set(chain(parser.marks, x.mark)), x) for x in parser.lines]
+    shown = [bool(t) and not x.unseen for t, _, _, x in lines]
+    if not any(shown):
+        return ""
+
+    def rich(ok):
+        ratios = [len(t) / max(1, x.tags) if o else 0.0 for (t, _, _, x), o in zip(lines, ok)]
+        scores = []
+        for i in range(len(ratios)):
+            near = [(np.exp(-0.5 * (i - j) ** 2), r) for j, r in enumerate(ratios) if abs(i - j) <= 3]
+            scores.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+        border = hx.threshold(np.array(scores))
+        return [s >= border - 1e-9 for s in scores]
+
+    first = [len(t) if s and not x.linked else 0 for (t, _, _, x), s in zip(lines, shown)]
+    total, disbelieved = sum(first), set()
+    article = sum(n for n, line in zip(first, lines) if not line[2] and any(regions[r][1] in ("article", "main") for r in line[1]))
+    for m, (parent, wrapper) in enumerate(parser.marks if article < hx.PROSE else []):
+        free = sum(n for n, line in zip(first, lines) if line[2] <= disbelieved)
+        held = sum(n for n, line in zip(first, lines) if m in line[2])
+        if free < hx.LEFT * total and wrapper and held > total / 2 and held >= hx.PROSE and set(chain(parser.marks, parent)) <= disbelieved:
+            disbelieved.add(m)
+    may = [s and line[2] <= disbelieved for s, line in zip(shown, lines)]
+    if not any(may):
+        return ""
+    strong = rich(may)
+    telling = [i for i in range(len(lines)) if may[i] and strong[i]] or [i for i in range(len(lines)) if may[i]]
+    mass = lambda r: sum(len(lines[i][0]) for i in telling if r in lines[i][1])
+    picked, named = None, True
+    for kind in ("article", "main"):
+        own = [r for r, (parent, name) in enumerate(regions) if name == kind and mass(r) and not any(regions[a][1] == kind for a in chain(regions, parent))]
+        if picked is None and own and 2 * sum(map(mass, own)) >= sum(len(lines[i][0]) for i in telling):
+            picked = set(own)
+    if picked is None:
+        around = max(set.intersection(*[lines[i][1] for i in telling]), key=lambda r: len(chain(regions, r)))
+        if around and sum(may[i] and around in line[1] for i, line in enumerate(lines)) == 1:
+            around = regions[around][0]
+        picked, named = {around}, False
+    left = [i for i in range(len(lines)) if may[i]]
+    links = "".join("L" if lines[i][3].linked and not lines[i][3].heading and not strong[i] else "." for i in left)
+    menu = {k for m in re.finditer("L{3,}" if named else "L", links) for k in range(*m.span())}
+    return "\n".join(lines[i][0] for k, i in enumerate(left) if lines[i][1] & picked and k not in menu)
+
+
+def random_page(draw):
+    def element(depth):
+        if depth == 0 or draw.random() < 0.3:
+            return draw.choice([f"<p>{LONG * draw.randrange(1, 4)}</p>", "<p>short</p>", "<a href=1>link</a><br>", "<li><a href=2>item</a>", "<p>", "</p>", "</div>", "text ", "<h2>Head</h2>", "<script>x</script>"])
+        tag = draw.choice(["div", "div", "div", "section", "article", "main", "nav", "form", "aside", "header", "footer", "ul", "td"])
+        name = draw.choice(["", "", "", " class='menu'", " class='has-sidebar x'", " id=comments", " class='ad'", " role=form", " hidden"])
+        return f"<{tag}{name}>" + "".join(element(depth - 1) for _ in range(draw.randrange(1, 5))) + draw.choice([f"</{tag}>"] * 5 + [""])
+
+    return "".join(element(draw.randrange(1, 6)) for _ in range(draw.randrange(1, 5)))
+
+
+def test_selection_equals_the_plain_one():
+    draw = random.Random(12)
+    pages = [random_page(draw) for _ in range(1500)]
+    wrong = [p for p in pages if hx.main_text(p) != plain_selection(p)]
+    assert wrong == []
+    assert len({hx.main_text(p) for p in pages}) > 300
+
+
+def test_deep_and_unclosed_markup_takes_linear_time():
+    def seconds(n):
+        page = "<div class=menu-x><p>" * n + LONG + "</b></i></section></table>" * n + "</div>" * n
+        start = time.perf_counter()
+        assert hx.main_text(page) == LONG.strip()
+        return time.perf_counter() - start
+
+    seconds(2000)
+    few, many = seconds(5000), seconds(50_000)
+    assert many < 40 * few + 1
+
+
 def test_pieces_fed_do_not_matter(monkeypatch):
     monkeypatch.setattr(hx, "FED", 3)
     for html, text in CASES:
