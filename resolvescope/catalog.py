@@ -155,8 +155,13 @@ class Catalog:
                 _layouts[self._frames[name]] = layout
         return self._frames[name]
 
-    def _stored(self, name: str) -> DataFrame:
-        schema = T.StructType.fromDDL(TABLES[name])
+    def stored(self, name: str, schema: str | T.StructType) -> DataFrame:
+        """A table that is kept beside the fixed relations."""
+        self._read.add(name)
+        return self._stored(name, schema)
+
+    def _stored(self, name: str, schema: str | T.StructType | None = None) -> DataFrame:
+        schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema or TABLES[name])
         path = self.path(name)
         hadoop = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         store = hadoop.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration())

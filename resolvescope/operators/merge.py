@@ -36,6 +36,12 @@ class MergeResult:
     def with_report(self, report: DataFrame) -> "MergeResult":
         return replace(self, report=report)
 
+    def touched(self, column: str) -> DataFrame:
+        """Values of a column, before and after, in the rows that were inserted or updated."""
+        changed = self.paired.where(F.col("change").isin("inserted", "updated"))
+        both = changed.select(F.explode(F.array(cur(column), new(column))).alias(column))
+        return both.where(F.col(column).isNotNull()).distinct()
+
 
 def cur(name: str) -> Column:
     return F.col(f"cur.{name}")

@@ -70,6 +70,9 @@ class ImportResult:
     def table(self, name: str) -> DataFrame:
         return self.result(self._tables[name]).table
 
+    def of_table(self, name: str) -> MergeResult:
+        return self.result(self._tables[name])
+
     def part(self, name: str) -> Part | None:
         """The touched buckets of a table stored in buckets; None where the whole table is written."""
         return self.result(self._tables[name]).part

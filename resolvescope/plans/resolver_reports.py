@@ -16,8 +16,8 @@ from resolvescope.operators.containment import (
     NET_KEY,
     ancestor_pairs,
     covering_prefixes,
-    longest_match,
     prefix_join,
+    with_match,
 )
 from resolvescope.operators.rows import page
 from resolvescope.session import materialise
@@ -201,9 +201,16 @@ def resolver_dnssec(t) -> DataFrame:
 
 def _with_prefix_facts(ips: DataFrame, prefixes: DataFrame, facts: DataFrame) -> DataFrame:
     """Address rows with the facts of their longest covering prefix (nulls when uncovered)."""
-    keyed = prefixes.select(*NET_KEY, "prefix").join(facts, "prefix")
-    found = longest_match(ips, prefixes).join(keyed, NET_KEY).drop("masklen", "net_hi", "net_lo", "prefix")
-    return ips.join(found, IP_KEY, "left")
+    matched = with_match(ips, prefixes, "_match")
+    # An uncovered address goes by itself, so that such rows are not dealt to one task.
+    keyed = matched.withColumn("_of", F.coalesce("_match.prefix", F.concat_ws(" ", F.lit("none"), *IP_KEY))).drop("_match")
+    return keyed.join(facts.withColumnRenamed("prefix", "_of"), "_of", "left").drop("_of")
+
+
+def _in_prefixes(ips: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Covered address rows with the text of their longest prefix instead of their key."""
+    found = with_match(ips, prefixes, "_match").where(F.col("_match").isNotNull())
+    return found.withColumn("prefix", F.col("_match.prefix")).drop("_match", *IP_KEY)
 
 
 def _over_ancestors(prefixes: DataFrame, values: DataFrame) -> DataFrame:
@@ -246,9 +253,8 @@ def resolver_anycast_sites(t, kind: str = "country", targets: DataFrame | None =
         sites = with_coordinates(sites, t.country_location)
     else:
         sites = _chain_sites(t, t.anycast_asn_backend, "asn", "asn_count")
-    keyed = t.anycast.select(*NET_KEY, "prefix").join(sites, "prefix")
     asked = t.resolver if targets is None else t.resolver.join(targets.select("ip").distinct(), "ip", "left_semi")
-    out = longest_match(asked, t.anycast).join(keyed, NET_KEY).join(asked.select("ip", *IP_KEY), IP_KEY)
+    out = _in_prefixes(asked.select("ip", *IP_KEY), t.anycast).join(sites, "prefix")
     return out.select("ip", kind, "count", *(["latitude", "longitude"] if kind == "country" else []), "last_update_ts")
 
 
@@ -456,10 +462,9 @@ def domain_summary(t, limit: int | None = None, cut=materialise) -> DataFrame:
 def domain_anycast_countries(t, rows: DataFrame) -> DataFrame:
     """Distinct anycast countries over a domain's addresses, via the prefixes they fall in."""
     where = (
-        rows.select(F.col("resolver_ip").alias("ip"), "domain").join(t.resolver.select("ip", *IP_KEY), "ip")
-        .join(longest_match(t.resolver, t.anycast), IP_KEY)
-        .select("domain", *NET_KEY).distinct()
-        .join(t.anycast.select(*NET_KEY, "prefix"), NET_KEY)
+        rows.select(F.col("resolver_ip").alias("ip"), "domain")
+        .join(_in_prefixes(t.resolver.select("ip", *IP_KEY), t.anycast), "ip")
+        .select("domain", "prefix").distinct()
     )
     countries = _over_ancestors(t.anycast, t.anycast_country_backend.select("prefix", "country")).select("prefix", "country").distinct()
     return where.join(countries, "prefix").groupBy("domain").agg(F.count_distinct("country").alias("anycast_country_count"))

@@ -13,16 +13,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resolvescope.functions.clean import array_to_text, org_short
 from resolvescope.functions.countries import clean_country
 from resolvescope.functions.net import to_slash24, with_prefix_key
-from resolvescope.operators.containment import IP_KEY, NET_KEY, longest_match, with_prefix_match
+from resolvescope.operators.containment import IP_KEY, with_match, with_prefix_match
 from resolvescope.session import materialise
+from resolvescope.sources.versions import open_catalog, write_versions
 
 Cut = Callable[[DataFrame], DataFrame]
 RESOLVER, FORWARDER, TRANSPARENT = "Resolver", "Forwarder", "Transparent Forwarder"
@@ -89,14 +91,16 @@ def rollup_ip(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "_newest.*", "last_update_ts", "supported_protocols")
 
 
-def _as_feed(rows: DataFrame, column: str, target: str | None = None) -> DataFrame:
-    """Scan rows seen from one address column."""
+def _feed_columns(column: str, target: str | None = None) -> list[Column]:
+    """What a feed takes from one address column of a row."""
     picked = [F.col(f"{column}_{source}").alias(name) for source, name in ATTRIBUTES.items()]
     extra = [F.col(target).alias("resolver")] if target else []
-    return rows.select(
-        F.col(column).alias("ipv4"), *extra, *picked, F.col("timestamp_request").alias("last_update_ts"),
-        F.col("protocol").alias("supported_protocols"),
-    )
+    return [F.col(column).alias("ipv4"), *extra, *picked, F.col("timestamp_request").alias("last_update_ts"), F.col("protocol").alias("supported_protocols")]
+
+
+def _as_feed(rows: DataFrame, column: str, target: str | None = None) -> DataFrame:
+    """Scan rows seen from one address column."""
+    return rows.select(*_feed_columns(column, target))
 
 
 def _key(column: str) -> list[str]:
@@ -110,8 +114,8 @@ def _as_key(df: DataFrame, column: str) -> DataFrame:
 def anycast_addresses(scan: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(family, ip_hi, ip_lo, anycast_prefix): queried and replying addresses inside a prefix."""
     addresses = _as_key(scan, "queried_ip").union(_as_key(scan, "replying_ip")).distinct()
-    texts = prefixes.select(*NET_KEY, F.col("prefix").alias("anycast_prefix"))
-    return longest_match(addresses, prefixes).join(texts, NET_KEY).select(*IP_KEY, "anycast_prefix")
+    found = with_match(addresses, prefixes, "_match")
+    return found.where(F.col("_match").isNotNull()).select(*IP_KEY, F.col("_match.prefix").alias("anycast_prefix"))
 
 
 def address_roles(scan: DataFrame, anycast: DataFrame) -> DataFrame:
@@ -188,66 +192,56 @@ class ScanClassification:
 
     # ---- resolvers -----------------------------------------------------------------------
 
-    def _public_rows(self) -> DataFrame:
+    @property
+    def _rules(self) -> dict[str, tuple[Column, str]]:
+        """What makes an address of a row a resolver, and which address: one public rule, three closed ones."""
         kind = F.col("resolver_type")
-        return self.flagged.where((kind == RESOLVER) | ((kind == FORWARDER) & F.col("queried_ip_anycast_supported")))
+        transparent = kind == TRANSPARENT
+        first = transparent & F.col("reply_is_plain_forwarder") & ~F.col("back_is_public")
+        second = ~F.col("reply_is_forwarder") & ~F.col("reply_is_public") & ~F.col("back_is_public") & ~F.col("back_is_forwarder")
+        return {
+            "public": ((kind == RESOLVER) | ((kind == FORWARDER) & F.col("queried_ip_anycast_supported")), "queried_ip"),
+            "forwarders": ((kind == FORWARDER) & ~F.col("reply_is_public") & ~F.col("back_is_public"), "backend_resolver"),
+            "backend": (first | (second & transparent if self.strict else second), "backend_resolver"),
+            "reply": (transparent & ~F.col("reply_is_forwarder") & ~F.col("reply_is_public") & F.col("replying_ip_anycast_supported"), "replying_ip"),
+        }
+
+    def _of_rule(self, name: str) -> DataFrame:
+        condition, column = self._rules[name]
+        return rollup_ip(_as_feed(self.flagged.where(condition), column), ["ipv4"])
 
     def public_resolvers(self) -> DataFrame:
         """Resolvers, and forwarders that are themselves anycast."""
-        return rollup_ip(_as_feed(self._public_rows(), "queried_ip"), ["ipv4"])
-
-    def _closed_from_forwarders_rows(self) -> DataFrame:
-        rule = (F.col("resolver_type") == FORWARDER) & ~F.col("reply_is_public") & ~F.col("back_is_public")
-        return self.flagged.where(rule)
+        return self._of_rule("public")
 
     def closed_from_forwarders(self) -> DataFrame:
         """Backends of forwarders that are not public resolvers, nor is the replying address."""
-        return rollup_ip(_as_feed(self._closed_from_forwarders_rows(), "backend_resolver"), ["ipv4"])
-
-    def _closed_from_backend_rows(self) -> DataFrame:
-        transparent = F.col("resolver_type") == TRANSPARENT
-        first = transparent & F.col("reply_is_plain_forwarder") & ~F.col("back_is_public")
-        second = ~F.col("reply_is_forwarder") & ~F.col("reply_is_public") & ~F.col("back_is_public") & ~F.col("back_is_forwarder")
-        return self.flagged.where(first | (second & transparent if self.strict else second))
+        return self._of_rule("forwarders")
 
     def closed_from_transparent_backend(self) -> DataFrame:
         """Backends behind transparent forwarders whose replying address is a plain forwarder, or
         neither a forwarder nor a public resolver."""
-        return rollup_ip(_as_feed(self._closed_from_backend_rows(), "backend_resolver"), ["ipv4"])
-
-    def _closed_from_reply_rows(self) -> DataFrame:
-        return self.flagged.where(
-            (F.col("resolver_type") == TRANSPARENT) & ~F.col("reply_is_forwarder") & ~F.col("reply_is_public")
-            & F.col("replying_ip_anycast_supported")
-        )
+        return self._of_rule("backend")
 
     def closed_from_transparent_reply(self) -> DataFrame:
         """Anycast replying addresses that are neither forwarders nor public resolvers."""
-        return rollup_ip(_as_feed(self._closed_from_reply_rows(), "replying_ip"), ["ipv4"])
+        return self._of_rule("reply")
 
     @cached_property
     def resolvers(self) -> DataFrame:
-        """Public and closed resolvers; one address may come from several closed rules."""
-        closed = (
-            self.closed_from_forwarders()
-            .unionByName(self.closed_from_transparent_backend())
-            .unionByName(self.closed_from_transparent_reply())
-        )
-        return self.public_resolvers().withColumn("is_public", F.lit(True)).unionByName(closed.withColumn("is_public", F.lit(False)))
+        """Public and closed resolvers; one address may come from several closed rules.
+
+        A row gives an entry per rule it satisfies, so the flagged table is read once and rolled up once
+        by rule and address."""
+        entries = F.array(*[F.when(condition, F.struct(F.lit(name).alias("_rule"), *_feed_columns(column))) for name, (condition, column) in self._rules.items()])
+        found = self.flagged.select(F.explode(entries).alias("_entry")).where(F.col("_entry").isNotNull()).select("_entry.*")
+        return rollup_ip(found, ["_rule", "ipv4"]).withColumn("is_public", F.col("_rule") == "public").drop("_rule")
 
     @cached_property
     def resolver_addresses(self) -> DataFrame:
-        """Distinct addresses of ``resolvers``, taken from the rules without the roll-ups."""
-        parts = [
-            self._public_rows().select(F.col("queried_ip").alias("ip")),
-            self._closed_from_forwarders_rows().select(F.col("backend_resolver").alias("ip")),
-            self._closed_from_backend_rows().select(F.col("backend_resolver").alias("ip")),
-            self._closed_from_reply_rows().select(F.col("replying_ip").alias("ip")),
-        ]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.union(part)
-        return out.where(F.col("ip").isNotNull()).distinct()
+        """Distinct addresses of ``resolvers``, taken from the rules without the roll-up."""
+        addresses = F.array(*[F.when(condition, F.col(column)) for condition, column in self._rules.values()])
+        return self.flagged.select(F.explode(addresses).alias("ip")).where(F.col("ip").isNotNull()).distinct()
 
     def resolver_feed(self, source: str, iso: DataFrame | None = None) -> DataFrame:
         """Import rows of the resolvers, on port 53."""
@@ -347,16 +341,53 @@ class ScanClassification:
         )
 
 
+@dataclass(frozen=True)
+class ScanState:
+    """What is left of any number of snapshots: the combinations probed, with their newest times, and what
+    is known about the addresses. Both merge by maximum and by or, so a snapshot is read once."""
+
+    probes: DataFrame
+    addresses: DataFrame
+
+    def merged_with(self, other: "ScanState", cut: Cut = materialise) -> "ScanState":
+        """The state of the snapshots of both, which must have been marked with one census."""
+        times = [c for c in self.probes.columns if c != "timestamp_request"]
+        probes = self.probes.unionByName(other.probes).groupBy(*times).agg(F.max("timestamp_request").alias("timestamp_request"))
+        known = self.addresses.unionByName(other.addresses).groupBy(*IP_KEY).agg(F.max("anycast_prefix").alias("anycast_prefix"), *[F.bool_or(r).alias(r) for r in ROLES])
+        return ScanState(cut(probes), cut(known))
+
+
+def scan_state(scan: DataFrame, census: DataFrame, cut: Cut = materialise) -> ScanState:
+    """The state of one snapshot: distinct probes, and address roles with anycast marks."""
+    probes = cut(distinct_probes(fill_scan_ts(scan)))
+    covered = cut(anycast_addresses(probes, census_prefixes(census)))
+    return ScanState(probes, cut(covered.join(address_roles(probes, covered), IP_KEY, "full_outer")))
+
+
+STATE_TABLES = ("scan_probes", "scan_addresses")
+
+
+def add_snapshot(spark: SparkSession, root: str, scan: DataFrame, census: DataFrame, cut: Cut = materialise) -> ScanState:
+    """Add a snapshot to the state kept under ``root``; only the snapshot and the state are read."""
+    tables = open_catalog(spark, root)
+    state = scan_state(scan, census, cut)
+    if STATE_TABLES[0] in tables.versions:
+        state = ScanState(*[tables.stored(name, part.schema) for name, part in zip(STATE_TABLES, (state.probes, state.addresses))]).merged_with(state, cut)
+    write_versions(spark, root, dict(zip(STATE_TABLES, (state.probes, state.addresses))), tables)
+    return state
+
+
+def classify_state(state: ScanState, strict: bool = False, cut: Cut = materialise) -> ScanClassification:
+    return ScanClassification(cut(flag_scan(state.probes, state.addresses)), strict)
+
+
 def classify_scan(scan: DataFrame, census: DataFrame, strict: bool = False, cut: Cut = materialise) -> ScanClassification:
     """Fill probe times, collect what is known about addresses, flag the scan, set up the feeds.
 
     ``cut`` ends the lineage four times: distinct probes, covered addresses, address roles, flagged
     probes. The two in the middle hold one row per address; the last is the table all feeds read.
     """
-    probes = cut(distinct_probes(fill_scan_ts(scan)))
-    covered = cut(anycast_addresses(probes, census_prefixes(census)))
-    addresses = cut(covered.join(address_roles(probes, covered), IP_KEY, "full_outer"))
-    return ScanClassification(cut(flag_scan(probes, addresses)), strict)
+    return classify_state(scan_state(scan, census, cut), strict, cut)
 
 
 def refresh_scan(t, scan: DataFrame, census: DataFrame, source: str, iso: DataFrame | None = None, now: Column | None = None,

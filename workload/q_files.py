@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from resolvescope.catalog import Catalog
+from resolvescope.operators import pages
 from resolvescope.plans import imports, scope_reports
 from resolvescope.session import shared_folder
 from resolvescope.sources import readers, registry, versions
@@ -126,6 +127,21 @@ def _(t):
     return versions.open_catalog(t.spark, root).resolver.select("ip", "last_update_ts")
 
 
+@query("w07_written_page", "SELECT o_orderkey, o_totalprice, rank FROM (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank BETWEEN 7001 AND 7025")
+def _(t):
+    """Page 281 of all orders, from the range of the written report that it lies in."""
+    path, order = folder(t, "pages"), [F.col("o_totalprice").desc(), key()]
+    pages.write_pages(t.raw("orders").select("o_orderkey", "o_totalprice"), order, path, range_rows=1000)
+    return pages.read_page(t.spark, path, order, 281, 25).select("o_orderkey", "o_totalprice", "rank")
+
+
+@query("w07_written_page_by_group", "SELECT p_brand, p_partkey, rank FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE p_brand = 'Brand#13' AND rank BETWEEN 6 AND 10")
+def _(t):
+    path, order = folder(t, "pages"), [F.col("p_retailprice").desc(), F.col("p_partkey")]
+    pages.write_pages(t.raw("part").select("p_brand", "p_partkey", "p_retailprice"), order, path, by=["p_brand"], range_rows=100)
+    return pages.read_page(t.spark, path, order, 2, 5, {"p_brand": "Brand#13"}).select("p_brand", "p_partkey", "rank")
+
+
 @query("m28_resolver_lists", f"SELECT DISTINCT {sql_v4(sql_rip('(o_custkey::BIGINT+1000000)'))} AS ip, 'one' AS source FROM orders UNION ALL SELECT DISTINCT {sql_v4(sql_rip('(s_suppkey::BIGINT+5000000)'))}, 'one' FROM supplier")
 def _(t):
     first, second = folder(t, "list.txt"), folder(t, "list.csv")

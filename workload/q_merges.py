@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from resolvescope.functions.countries import iso_table
 from resolvescope.operators.rows import new_keys
 from resolvescope.plans import imports as m
+from resolvescope.plans import kept
 from workload import batches as b
 from workload.oracle_fixtures import iso, mask, ptext, rip, aip, stamp, v4
 from workload.registry import query
@@ -113,6 +114,20 @@ def _(t):
     return imported(t).table("resolver_location")
 
 
+_LOCATED = attribute_sql("fx_resolver_location", ["country", "city"]).replace("country NULLS LAST, city NULLS LAST", "city NULLS LAST, country NULLS LAST")
+
+
+@query("q20_kept_country_counts", f"""SELECT country AS target, count(*) AS resolver_count, count(*) FILTER (is_public) AS public_resolver_count, count(*) FILTER (NOT is_public) AS closed_resolver_count,
+   count(DISTINCT resolver_id) AS identity_count, count(DISTINCT source) AS source_count, count(*) FILTER (qmin = 'yes') AS qmin_yes_count, count(*) FILTER (qmin = 'no') AS qmin_no_count,
+   count(*) FILTER (qmin = 'unstable') AS qmin_unstable_count
+   FROM ({_LOCATED}) l JOIN ({resolver_sql(False)}) r USING (resolver_id) LEFT JOIN (SELECT resolver_id, qmin FROM fx_qmin_resolver) q USING (resolver_id) WHERE country IS NOT NULL GROUP BY 1""", EXTRA)
+def _(t):
+    """The report of the tables before an import, carried over it by the rows that it changes."""
+    tables, result, report = Tables(t), imported(t), kept.COUNTRY_COUNTS
+    state = kept.full_state(report, tables)
+    return kept.read_report(report, kept.apply_delta(state, kept.signed_delta(report, tables, result)).table)
+
+
 SERVICE_STAGE = """SELECT resolver_id, CASE p WHEN 'udp' THEN 'doudp' WHEN 'tcp' THEN 'dotcp' WHEN 'h2' THEN 'doh' ELSE p END AS protocol, port, max(last_update_ts) AS ts
   FROM (SELECT resolver_id, lower(trim(unnest(string_split(protocol, ',')))) AS p, port, last_update_ts FROM st_all) WHERE p<>'' AND port IS NOT NULL GROUP BY 1,2,3"""
 

@@ -1,10 +1,14 @@
 """Scan classification."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from resolvescope.functions.clean import array_to_text
 from resolvescope.plans import scan as p
 from resolvescope.operators.rows import keep_if_in, keep_if_not_in
+from resolvescope.session import shared_folder
+from resolvescope.sources.versions import open_catalog
 from workload.oracle_fixtures import inside, mask, stamp, v4
 from workload.registry import query
 
@@ -98,8 +102,11 @@ def _(t):
     return flat(feeds(t).closed_from_transparent_reply())
 
 
-@query("p08_resolver_feed", f"""SELECT ipv4 AS ip, asn, bgp_prefix AS prefix, org, CASE WHEN org IS NOT NULL THEN 'Org' END AS org_short, country, is_public,
-  supported_protocols AS protocol, 53 AS port, supported_protocols, {stamp('last_update_ts')} AS last_update_ts, 'scan' AS source FROM st_resolvers""", EXTRA)
+ORACLE_P08 = f"""SELECT ipv4 AS ip, asn, bgp_prefix AS prefix, org, CASE WHEN org IS NOT NULL THEN 'Org' END AS org_short, country, is_public,
+  supported_protocols AS protocol, 53 AS port, supported_protocols, {stamp('last_update_ts')} AS last_update_ts, 'scan' AS source FROM st_resolvers"""
+
+
+@query("p08_resolver_feed", ORACLE_P08, EXTRA)
 def _(t):
     return feeds(t).resolver_feed("scan")
 
@@ -167,6 +174,18 @@ def _(t):
     return p.refresh_scan(Tables(t), t.scan, t.census, "scan", now=now())["spoofing"].table("spoofing").select("prefix")
 
 
+@query("p16_snapshots_resolver_feed", ORACLE_P08, EXTRA)
+def _(t):
+    """The scan as two snapshots, one added to the kept state of the other."""
+    root = f"{shared_folder(t.spark)}/scan-{uuid.uuid4().hex}"
+    scan = p.fill_scan_ts(t.scan)
+    for half in (0, 1):
+        p.add_snapshot(t.spark, root, scan.where(F.col("row_id") % 2 == half), t.census)
+    tables = open_catalog(t.spark, root)
+    frames = [t.spark.read.parquet(tables.path(name)) for name in p.STATE_TABLES]
+    return p.classify_state(p.ScanState(*frames)).resolver_feed("scan")
+
+
 @query("j10_missing_target_rows", MISSING, EXTRA)
 def _(t):
     return feeds(t).missing_target_rows()
