@@ -22,6 +22,9 @@ BINS = 1 << 12
 """Ranges of the random order for which tokens are summed; only the one at the cut is ordered row by row."""
 
 
+PIECE = 1 << 12
+"""Copies of a row that are made at a time."""
+
 MOST_LEAVES = 100_000
 """Leaves a tree may have: what the driver reads and the tasks are sent is one row for each."""
 
@@ -111,7 +114,7 @@ def mix(
 
     Leaves are counted, not collected: the driver holds one number per leaf of the tree. Prefix sums run
     over BINS ranges of the order first, so a leaf with a third of all rows is never ordered as a whole;
-    only its bin at the cut is. Null lang or source form leaves of their own. Documents of no tokens
+    only its bin at the cut is, one row per id and token count. Null lang or source form leaves of their own. Documents of no tokens
     belong to each epoch that is begun before the cut; a leaf of no tokens is left out, as is all of an
     empty table. Repeated rows are further documents. Other columns are ignored.
     """
@@ -148,6 +151,13 @@ def mix(
     # One row per leaf, as many as the plan has.
     judged = partial.join(F.broadcast(cut_at), at_leaf[0] & at_leaf[1] & at_leaf[2], "left")
     below = judged.where("cut is null or bin < cut").select(*names)
-    running = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
-    last = judged.where("bin = cut").withColumn("sum", running + F.col("before")).where("sum <= rest").select(*names)
+    # Rows that agree in all that is returned are interchangeable. Counted first, however many share an id (or
+    # have none), they are one row of the bin at the cut; of the group that crosses it as many stay as fit.
+    alike = judged.where("bin = cut").groupBy(*names, "place", "rest", "before").agg(F.count("*").alias("copies"))
+    through = F.sum(F.col("copies") * F.col("n_tokens")).over(Window.partitionBy(*LEVELS).orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    room = alike.withColumn("room", F.col("rest") - F.col("before") - through + F.col("copies") * F.col("n_tokens")).where("room >= 0")
+    fitting = F.when(F.col("n_tokens") == 0, F.col("copies")).otherwise(F.least(F.col("copies"), F.floor(F.col("room") / F.greatest("n_tokens", F.lit(1)))))
+    counted = room.withColumn("fits", fitting.cast("long")).where("fits > 0")
+    pieces = counted.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("fits") - 1) / PIECE))))
+    last = pieces.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(PIECE).cast("long"), F.col("fits") - F.col("piece") * PIECE)))).select(*names)
     return whole.unionByName(below).unionByName(last)

@@ -24,9 +24,10 @@ BLOCK = 192
 """Rows of one starting block, about."""
 
 DIRECTIONS = 3
-ROUNDS = 5
+ROUNDS = 20
+"""Most rounds; they end earlier, by STOP."""
+
 BEAM = 192
-STEPS = 6
 STOP = 0.002
 """Rounds end when fewer than this share of the lists' entries are new."""
 
@@ -41,6 +42,12 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     return rows.where(~F.exists("vector", bad) & F.exists("vector", lambda x: x != 0))
 
 
+def of_one_length(rows: DataFrame) -> DataFrame:
+    """The rows whose vectors have the commonest length."""
+    common = rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    return rows if common is None else rows.where(F.size("vector") == common["width"])
+
+
 def distinct_vectors(scratch: Scratch, rows: DataFrame, k: int) -> DataFrame:
     """(node, vector, members): one row per distinct vector, named by its smallest id, with its k + 1
     smallest ids. More can never be among the k nearest of a query, its own copies included."""
@@ -138,7 +145,7 @@ def descend(scratch: Scratch, nodes: DataFrame, edges: DataFrame, neighbours: in
     """
     reverse = edges.select(F.col("other").alias("node"), F.col("node").alias("other"), "distance", "fresh")
     near = Window.partitionBy("node").orderBy("distance", "other")
-    reverse = reverse.withColumn("place", F.row_number().over(near)).where(F.col("place") <= neighbours).drop("place")
+    reverse = reverse.withColumn("place", F.row_number().over(near)).where(F.col("place") <= 2 * neighbours).drop("place")
     around = edges.unionByName(reverse).groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
     worst = edges.groupBy("node").agg(F.max("distance").alias("worst"), F.count("*").alias("n")).select(F.col("node").alias("other"), F.when(F.col("n") < neighbours, float("inf")).otherwise(F.col("worst")).alias("worst"))
     known = nodes.select(F.col("node").alias("other"), F.transform("vector", lambda x: x.cast("float")).alias("vector")).join(worst, "other", "left")
@@ -202,9 +209,12 @@ def build_graph(scratch: Scratch, nodes: DataFrame, neighbours: int = NEIGHBOURS
     return edges
 
 
-def search(scratch: Scratch, nodes: DataFrame, edges: DataFrame, queries: DataFrame, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
+def search(scratch: Scratch, nodes: DataFrame, edges: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
     """(query, other, distance): the ``beam`` best nodes that a greedy walk finds for each query.
 
+    The walk goes on until every node of every beam is expanded. A step only adds nodes that are nearer
+    than the worst of a full beam, so it ends.
+
     ``queries``: (query, node, vector), where node is a node of the graph to start from. Each step joins
     the beam's nodes not yet expanded with their lists and with all that list them, and what is new with
     its vector. A node that few list is reached that way through its own list.
@@ -214,7 +224,7 @@ def search(scratch: Scratch, nodes: DataFrame, edges: DataFrame, queries: DataFr
     found = scratch.cut(queries.select("query", F.col("node").alias("other"), F.lit(0.0).alias("distance"), F.lit(False).alias("expanded")))
     distance = F.aggregate(F.zip_with("asked", "vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     best = Window.partitionBy("query").orderBy("distance", "other")
-    for _ in range(steps):
+    while not found.where("not expanded").isEmpty():
         frontier = found.where("not expanded").select("query", F.col("other").alias("node"))
         reached = frontier.join(links, "node").select("query", "other").distinct().join(found.select("query", "other"), ["query", "other"], "left_anti")
         measured = reached.join(nodes.select(F.col("node").alias("other"), "vector"), "other").join(asked, "query").select("query", "other", distance.alias("distance"), F.lit(False).alias("expanded"))
@@ -222,8 +232,6 @@ def search(scratch: Scratch, nodes: DataFrame, edges: DataFrame, queries: DataFr
         following = scratch.cut(merged.withColumn("place", F.row_number().over(best)).where(F.col("place") <= beam).drop("place"))
         scratch.drop(found)
         found = following
-        if found.where("not expanded").isEmpty():
-            break
     return found
 
 
@@ -233,11 +241,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", e
     Every usable row is in the graph. Equal vectors are one node with its k + 1 smallest ids, so copies
     neither crowd the lists nor are lost. Scores are Euclidean distances of the original vectors in
     double precision; ties go to the smaller id. A query with fewer than k other rows gets all of them.
-    Vectors must have one length. Rows that repeat an id and vector count once; unusable ones are left
+    Vectors of another length than the commonest (the smaller of equally common ones) have no distance to
+    the others and take no part, as queries or as candidates. Rows that repeat an id and vector count once; unusable ones are left
     out as queries and as candidates; an empty table gives no rows.
     """
     scratch = Scratch(vectors.sparkSession)
-    rows = usable(vectors, vec_id, embedding)
+    rows = of_one_length(usable(vectors, vec_id, embedding))
     nodes = distinct_vectors(scratch, rows, k)
     edges = build_graph(scratch, nodes)
     wanted = rows.where(is_query(F.col("vec_id"))).withColumn("vector", F.transform("vector", lambda x: x + 0.0)).distinct()

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resolvescope.llm.common import ascii_lower
+from resolvescope.llm.common import Scratch, ascii_lower
 
 WORDS = 8
 """64-bit words of one block: a key touches one block of 512 bits, one cache line."""
@@ -96,7 +96,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Dat
     A rule that fits decides. Of the other pages those whose canonical URL is in ``listed`` (column
     ``canonical``) are blocked: the Bloom filter lets possible hits pass, a hash join on the distinct
     list decides them. Rows that the filter turns away are never shuffled; a URL that many pages share
-    only makes a skewed probe side, which adaptive execution splits.
+    only makes a skewed probe side, which adaptive execution splits. ``pages`` and ``listed`` are read once.
 
     A null url or one without ``://`` has empty host and path, fits no rule and is allowed. Repeated
     rows stay; an empty list allows what no rule blocks; columns not in ``keep`` are dropped.
@@ -104,15 +104,16 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Dat
     parts = pages.select(*keep, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = parts.withColumn("rule", rule).withColumn("verdict", verdict).withColumn("_canonical", canonical_url(F.col("host"), F.col("path")))
-    exact = listed.select(F.col("canonical").alias("key")).where("key <> ''").distinct()
+    scratch = Scratch(pages.sparkSession)
+    exact = scratch.cut(listed.select(F.col("canonical").alias("key")).where("key <> ''").distinct())
     bloom = BlockedBloom(exact)
     open_rows = F.col("verdict").isNull()
-    ruled = judged.where(~open_rows).drop("_canonical")
-    probed = judged.where(open_rows).withColumn("_maybe", bloom.may_hold(F.col("_canonical")))
-    passed = probed.where(~F.col("_maybe")).withColumn("verdict", F.lit("allow")).drop("_canonical", "_maybe")
+    # Written once, without the pages' other columns: what the filter lets pass and what it turns away are two readings of it.
+    probed = scratch.cut(judged.withColumn("_maybe", open_rows & bloom.may_hold(F.col("_canonical"))).withColumn("_canonical", F.when(F.col("_maybe"), F.col("_canonical"))))
+    settled = probed.where(~F.col("_maybe")).withColumn("verdict", F.coalesce("verdict", F.lit("allow"))).drop("_canonical", "_maybe")
     hits = (
         probed.where("_maybe").join(exact, F.col("_canonical") == F.col("key"), "left")
         .withColumn("verdict", F.when(F.col("key").isNotNull(), "block").otherwise("allow"))
         .drop("_canonical", "_maybe", "key")
     )
-    return ruled.unionByName(passed).unionByName(hits)
+    return settled.unionByName(hits)

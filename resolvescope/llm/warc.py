@@ -17,22 +17,58 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resolvescope.llm.common import Scratch, small_batches, text_of
 
 CHUNK = 1 << 20
 PIECE = 1 << 16
+ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 16 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def base32_digest(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1, from 4 digits for every 5 of its 40 hexadecimal ones."""
-    hexed = F.sha1(payload)
-    digits = F.concat(*[F.lpad(F.upper(F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 32)), 4, "0") for i in range(8)])
-    return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+PAYLOADS = pa.schema([
+    ("record", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("n_bytes", pa.int64()), ("chunk", pa.int32()), ("payload", pa.binary()),
+    ("so_far", pa.string()), ("digest", pa.string()), ("is_last", pa.bool_()),
+])
+
+
+def base32(digest: bytes) -> str:
+    return base64.b32encode(digest).decode()
+
+
+def payload_chunks(records: DataFrame, payload: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """(record, page_id, url, n_bytes, chunk, payload, so_far, digest, is_last): the rows of at most ``chunk``
+    bytes of every record (record, page_id, url, html).
+
+    ``so_far`` is the digest of the payload up to and including the row, ``digest`` that of the last row, both
+    from one pass over the payload. Without ``payload`` only the last row of a record is made, without bytes.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            own = [batch.column(c) for c in ("record", "page_id", "url", "html")]
+            for record, page_id, url, html in zip(*own):
+                data, digest, so_far = memoryview(html.as_buffer()), hashlib.sha1(), []
+                for start in range(0, max(len(data), 1), chunk):
+                    digest.update(data[start:start + chunk])
+                    so_far.append(base32(digest.digest()))
+                head = {"record": record.as_py(), "page_id": page_id.as_py(), "url": url.as_py(), "n_bytes": len(data), "digest": so_far[-1]}
+                for k in range(len(so_far)) if payload else [len(so_far) - 1]:
+                    part = bytes(data[k * chunk:(k + 1) * chunk]) if payload else None
+                    rows.append(head | {"chunk": k, "payload": part, "so_far": so_far[k], "is_last": k == len(so_far) - 1})
+                    held += len(part or b"")
+                    if len(rows) >= ROWS_AT_ONCE or held >= BYTES_AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(rows, schema=PAYLOADS)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=PAYLOADS)
+
+    schema = "record long, page_id long, url string, n_bytes long, chunk int, payload binary, so_far string, digest string, is_last boolean"
+    return records.mapInArrow(cut, schema)
 
 
 def record_roles(records: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -51,22 +87,21 @@ def record_roles(records: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, scratch: Scratch, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", html: str = "html") -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html) and return the archives: (path, n_records).
 
-    Every task streams its records into one gzip-per-record archive in the shared folder. A file counts
+    Payloads travel as chunk rows, each checked against its digest so far when it is written. Every task streams its records into one gzip-per-record archive in the shared folder. A file counts
     only once its task has returned its name, so a task that is lost and run again leaves no double.
-    Payloads cross the network once, for the join with their roles; a revisit's is left behind before.
+    Payloads cross the network once, for the join with their roles; a revisit's is not written.
     """
     spark = pages.sparkSession
     small_batches(spark)
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of(html).alias("html"))
-    digested = scratch.cut(own.select("page_id", base32_digest(F.col("html")).alias("digest"), F.octet_length("html").cast("long").alias("n_bytes")))
-    roles = scratch.cut(record_roles(digested, least_bytes)).withColumnsRenamed({"page_id": "r_id", "digest": "r_digest"})
-    keyed = own.withColumn("digest", base32_digest(F.col("html")))
-    joined = keyed.join(roles.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")))
-    payload = F.when(F.col("record_type") == "response", F.col("html")).otherwise("").cast("binary")
-    count = F.greatest(F.ceil(F.octet_length(payload) / CHUNK), F.lit(1)).cast("int")
-    # Chunks are cut where their record is, so they arrive one after the other.
-    chunks = joined.select("page_id", "url", "digest", "n_bytes", "record_type", "refers_to", payload.alias("payload"), F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk"))
-    chunks = chunks.withColumn("payload", F.expr(f"substring(payload, chunk * {CHUNK} + 1, {CHUNK})"))
+    own = pages.select(F.monotonically_increasing_id().alias("record"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of(html).cast("binary").alias("html"))
+    digested = scratch.cut(payload_chunks(own, payload=False).select("page_id", "digest", "n_bytes"))
+    roles = scratch.cut(record_roles(digested, least_bytes)).select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "record_type", "refers_to")
+    # Cut into chunks before they are dealt out: no row that is shuffled or sorted holds more than one chunk.
+    joined = payload_chunks(own).join(roles.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")))
+    kept = joined.where((F.col("record_type") == "response") | (F.col("chunk") == 0))
+    payload = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit("").cast("binary"))
+    chunks = kept.select("record", "page_id", "url", "digest", "n_bytes", "record_type", "refers_to", payload.alias("payload"), "chunk", "so_far")
+    chunks = chunks.sortWithinPartitions("page_id", "digest", "record", "chunk")
     folder = scratch.folder("archives")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +116,13 @@ def write_archives(pages: DataFrame, scratch: Scratch, least_bytes: int = 0, dat
                     if row["chunk"] == 0:
                         if packer is not None:
                             out.write(packer.compress(b"\r\n\r\n") + packer.flush())
-                        packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+                        packer, seen = zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha1()
                         out.write(packer.compress(record_head(row, date)))
                         n += 1
+                    if row["record_type"] == "response":
+                        seen.update(row["payload"])
+                        if base32(seen.digest()) != row["so_far"]:
+                            raise ValueError(f"chunk {row['chunk']} of page {row['page_id']} does not follow on the one before")
                     out.write(packer.compress(row["payload"]))
             if packer is not None:
                 out.write(packer.compress(b"\r\n\r\n") + packer.flush())
@@ -180,7 +219,7 @@ def archive_chunks(stream, chunk: int = CHUNK) -> Iterator[dict]:
                 part += got
                 left -= len(got)
             digest.update(part)
-            so_far = base64.b32encode(digest.digest()).decode() if head["record_type"] == "response" else stated
+            so_far = base32(digest.digest()) if head["record_type"] == "response" else stated
             yield head | {"chunk": number, "offset": offset, "data": bytes(part), "digest": so_far, "is_last": not left}
             number, offset = number + 1, offset + len(part)
             if not left:
@@ -195,9 +234,6 @@ CHUNKS = pa.schema([
     ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()),
     ("chunk", pa.int32()), ("offset", pa.int64()), ("data", pa.binary()), ("digest", pa.string()), ("is_last", pa.bool_()),
 ])
-ROWS_AT_ONCE, BYTES_AT_ONCE = 512, 16 << 20
-
-
 def read_chunks(archives: DataFrame, payload: bool = True) -> DataFrame:
     """The chunked record table of archives: page_id, url, record_type, refers_to, payload_bytes, chunk,
     offset, data, digest (of the payload so far; a revisit's as stated), is_last.

@@ -67,6 +67,13 @@ def test_urls_against_plain_code(table, rows):
     assert url_filters.filter_urls(pages.limit(0), URL_RULES, listed, ["page_id"]).count() == 0
 
 
+def test_very_long_urls(table, rows):
+    path = "/p" * 200_000
+    pages = table([(1, f"http://n.net{path}?q", "h", "v"), (2, f"http://n.net{path}x", "h", "v")], "page_id long, url string, html string, verdict string")
+    listed = pages.sparkSession.createDataFrame([(f"n.net{path}",)], "canonical string")
+    assert rows(url_filters.filter_urls(pages, URL_RULES, listed, ["page_id"]), "page_id", "path", "verdict") == [(1, path, "block"), (2, path + "x", "allow")]
+
+
 @pytest.mark.parametrize("most_bits", [1 << 9, 1 << 20])
 def test_bloom_filter_loses_no_key(spark, most_bits):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))

@@ -29,7 +29,7 @@ def test_seeds_find_every_short_overlap():
     def held(mask, bad, n):
         return any(all(k == "0" or s + i not in bad for i, k in enumerate(mask)) for s in range(n - len(mask) + 1))
 
-    for n in range(13, 20):
+    for n in range(13, 26):
         for k in range(n // 5 + 1):
             assert all(any(held(m, set(bad), n) for m in dc.MASKS) for bad in combinations(range(1, n - 1), k))
 
@@ -98,3 +98,12 @@ def test_seeds_find_every_overlap_up_to_25():
         for k in range(n // 5 + 1):
             bad = np.array([sum(1 << i for i in b) for b in combinations(range(1, n - 1), k)])
             assert np.all([(bad & s) > 0 for s in spans], axis=0).sum() == 0
+
+
+def test_a_passage_at_the_end_of_a_very_long_text(docs, table):
+    draw = random.Random(3)
+    item = [f"term{i}" for i in range(30)]
+    filler = " ".join(f"w{draw.randrange(5000)}" for _ in range(300_000))
+    frame = docs([(1, f"{filler} {' '.join(item)}"), (2, filler), (3, " ".join(item[:12]) + " " + filler)])
+    found = dc.find_overlaps(frame, table([(1, " ".join(item), 9)], ITEMS)).collect()
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in found] == [(1, 300_000, 30)]

@@ -59,3 +59,19 @@ def test_prefixes_equal_plain_code(table, rows, budget):
 def test_empty_table(docs):
     assert mixing.mix(docs([]), lambda: F.lit("d"), {}).count() == 0
     assert mixing.mix(docs([(1, ""), (2, None)]), lambda: F.lit("d"), {}).count() == 0
+
+
+def test_rows_without_ids_and_long_texts(table):
+    """A third of all rows share no id: the cut goes through them, one row of counts, not a row each."""
+    texts = [(None, "a b", "en", "s") for _ in range(3000)] + [(i, "a b c", "en", "s") for i in range(2000)] + [(9000, "w " * 100_000, "en", "s")]
+    frame = table(texts, "doc_id long, text string, lang string, source string")
+    for budget in (5_000, 9_001, 108_000):
+        got = mixing.mix(frame, lambda: F.lit("d"), {}, budget=budget, most_epochs=1)
+        order = sorted(texts, key=lambda d: (plain_order(42, 0, d[0]), len(d[1])))
+        used = kept = 0
+        for _, text, *_ in order:
+            used += len(text.split())
+            if used > budget:
+                break
+            kept += 1
+        assert got.count() == kept

@@ -44,3 +44,9 @@ def test_recall_against_brute_force(table):
     got = {(r["query_id"], r["vec_id"]) for r in nn.nearest(frame, lambda v: v % 100 == 0, k=10).collect()}
     want = {(q, i) for q, _, i in plain(f32(rows), range(0, 3000, 100), 10)}
     assert len(got) == len(want) and len(got & want) / len(want) >= 0.95
+
+
+def test_vectors_of_another_length_take_no_part(table):
+    rows = [(i, [float(i), 1.0]) for i in range(8)] + [(100, [1.0, 2.0, 3.0]), (200, [5.0])]
+    got = nn.nearest(table([(i, v, 1, 5) for i, v in rows], SCHEMA), lambda v: v % 100 == 0, k=3).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == {(0, 1, 1), (0, 2, 2), (0, 3, 3)}
