@@ -112,7 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     The sample is a fixed range of id hashes, so it does not depend on row order or partitions. Its ids
     are a bounded table; documents stream past it. Each of SHARDS tasks runs FTRL over its own rows in
-    id order; the mean of the shards' weights is the model. Labels that are null or other than 0 and 1,
+    id order; the mean of the shards' weights is the model. The L1 strength is a five-hundredth of a shard's
+    rows, at least 2 and at most 8: a coordinate needs evidence in proportion to the rows to get a weight. Labels that are null or other than 0 and 1,
     null ids and ids without a document teach nothing; without labels every weight is 0.
     """
     spark = docs.sparkSession
@@ -179,7 +180,12 @@ def score(docs: DataFrame, weights: Weights, text: str = "text") -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``docs``; repeated rows stay."""
+    """(doc_id, held_out, score, predicted) of every row of ``docs``.
+
+    A null or empty text has the score of the intercept alone. A null doc_id is scored like any other row and
+    is never held out. Repeated rows stay; an empty table gives no rows; without usable labels every score
+    is 0.5. Columns other than id and text are neither read nor returned, whatever their names.
+    """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     scored = score(own, train(own, labels.withColumnRenamed(doc_id, "doc_id")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
