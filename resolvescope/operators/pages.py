@@ -35,7 +35,8 @@ def write_pages(df: DataFrame, order: Sequence[Column], path: str, by: Sequence[
     keys = [*[F.col(c) for c in by], *_total_order(rows, by, order)]
     dealt = rows.repartitionByRange(ranges, *keys).withColumn("range_no", F.spark_partition_id())
     dealt.write.mode("errorifexists").partitionBy("range_no").parquet(f"{path}/rows")
-    counts = rows.sparkSession.read.parquet(f"{path}/rows").groupBy(*by, "range_no").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows.limit(0).write.parquet(f"{path}/columns")  # an empty report has no range to take them from
+    counts = rows.sparkSession.read.schema(dealt.schema).parquet(f"{path}/rows").groupBy(*by, "range_no").agg(F.count(F.lit(1)).alias("n_rows"))
     # A row per group and range; the running count of a group goes over its ranges only.
     earlier = Window.partitionBy(*by).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     counts.withColumn("n_before", F.coalesce(F.sum("n_rows").over(earlier), F.lit(0))).write.parquet(f"{path}/index")
@@ -47,14 +48,13 @@ def read_page(spark: SparkSession, path: str, order: Sequence[Column], page: int
     low, high = (page - 1) * size, page * size
     index = _of_group(spark.read.parquet(f"{path}/index"), group).where((F.col("n_before") < high) & (F.col("n_before") + F.col("n_rows") > low))
     found = {r["range_no"]: r["n_before"] for r in index.collect()}  # the ranges that the page lies in
-    whole = spark.read.parquet(f"{path}/rows")
+    schema = spark.read.parquet(f"{path}/columns").schema
     if not found:
-        return whole.where("false").drop("range_no").withColumn("rank", F.lit(0).cast("bigint"))
-    columns = [c for c in whole.columns if c != "range_no"]
-    rows = _of_group(spark.read.schema(whole.select(*columns).schema).parquet(*[f"{path}/rows/range_no={r}" for r in found]).withColumn(
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0).cast("bigint"))
+    rows = _of_group(spark.read.schema(schema).parquet(*[f"{path}/rows/range_no={r}" for r in found]).withColumn(
         "range_no", F.regexp_extract(F.input_file_name(), r"range_no=(\d+)", 1).cast("int")), group)
     before = F.element_at(F.create_map(*[F.lit(x) for pair in found.items() for x in pair]), F.col("range_no"))
-    inside = Window.partitionBy("range_no").orderBy(*_total_order(rows.select(*columns), list(group), order))
+    inside = Window.partitionBy("range_no").orderBy(*_total_order(rows.drop("range_no"), list(group), order))
     ranked = rows.withColumn("rank", F.row_number().over(inside) + before)
     return ranked.where((F.col("rank") > low) & (F.col("rank") <= high)).drop("range_no")
 

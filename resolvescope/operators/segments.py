@@ -23,14 +23,10 @@ def _bits(value: int) -> Column:
     return F.lit(value).cast("bigint")
 
 
-def _flipped(value: Column) -> Column:
-    """A 64-bit value whose signed order is the unsigned order of the original."""
-    return value.bitwiseXOR(_bits(-(1 << 63)))
-
-
 def _position(family: Column, hi: Column, lo: Column) -> Column:
-    """An address as a struct that sorts like the address, IPv4 first."""
-    return F.struct(family.cast("int").alias("f"), _flipped(hi).alias("h"), _flipped(lo).alias("l"))
+    """An address as text of fixed length that sorts like the address, IPv4 first: a comparison is one of bytes."""
+    digits = lambda half: F.lpad(F.hex(half), 16, "0")
+    return F.concat(family.cast("string"), digits(hi), digits(lo))
 
 
 def _tail(length: Column) -> Column:
@@ -57,10 +53,10 @@ def segment_starts(prefixes: DataFrame) -> DataFrame:
     return both.select("family", F.col("at.hi").alias("ip_hi"), F.col("at.lo").alias("ip_lo")).distinct()
 
 
-def _splits(starts: DataFrame) -> list[tuple]:
+def _splits(starts: DataFrame) -> list[str]:
     """Positions of up to SPLITS beginnings, spread evenly by hash; where they lie only shapes the pieces."""
     at = starts.select(_position(F.col("family"), F.col("ip_hi"), F.col("ip_lo")).alias("at"))
-    return sorted(tuple(r[0]) for r in at.orderBy(F.xxhash64("at"), "at").limit(SPLITS).collect())
+    return sorted(r[0] for r in at.orderBy(F.xxhash64("at"), "at").limit(SPLITS).collect())
 
 
 def _not_after(position: Column, steps: Column, element) -> Column:
@@ -68,13 +64,12 @@ def _not_after(position: Column, steps: Column, element) -> Column:
     return F.aggregate(steps, F.lit(0), lambda i, step: F.when(element(i + step - 1) <= position, i + step).otherwise(i))
 
 
-def _piece(position: Column, splits: list[tuple]) -> Column:
+def _piece(position: Column, splits: list[str]) -> Column:
     if not splits:
         return F.lit(0)
-    column = lambda i, kind: F.expr(f"array({','.join(f'cast({s[i]} as {kind})' if s[i] != -(1 << 63) else f'cast(-9223372036854775808 as {kind})' for s in splits)})")
-    family, hi, lo = column(0, "int"), column(1, "bigint"), column(2, "bigint")
+    listed = F.expr(f"array({','.join(repr(s) for s in splits)})")
     steps = [1 << e for e in range(len(splits).bit_length() - 1, -1, -1)]
-    return _not_after(position, F.array(*[F.lit(s) for s in steps]), lambda i: F.struct(F.get(family, i).alias("f"), F.get(hi, i).alias("h"), F.get(lo, i).alias("l")))
+    return _not_after(position, F.array(*[F.lit(s) for s in steps]), lambda i: F.get(listed, i))
 
 
 def with_longest_prefix(df: DataFrame, prefixes: DataFrame, segments, names: list[str], out: str) -> DataFrame:
@@ -95,5 +90,6 @@ def with_longest_prefix(df: DataFrame, prefixes: DataFrame, segments, names: lis
     steps = F.transform(F.sequence(F.floor(F.log2(size)).cast("int"), F.lit(0)), lambda e: F.call_function("shiftleft", F.lit(1), e))
     count = _not_after(F.col("_at"), steps, lambda i: F.get(F.col("_segments"), i)["at"])
     found = met.withColumn("_found", F.when(F.col("_at").isNotNull() & (size > 0), F.get(F.col("_segments"), count - 1)))
-    hit = F.when((F.col("_found.at.f") == F.col("_at.f")) & F.col(f"_found.{MASK}").isNotNull(), F.struct(F.col(f"_found.{MASK}").alias(MASK), F.col("_found.prefix").alias("prefix")))
+    same_family = F.substring("_found.at", 1, 1) == F.substring("_at", 1, 1)
+    hit = F.when(same_family & F.col(f"_found.{MASK}").isNotNull(), F.struct(F.col(f"_found.{MASK}").alias(MASK), F.col("_found.prefix").alias("prefix")))
     return found.withColumn(out, hit).select(*df.columns, out)
