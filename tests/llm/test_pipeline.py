@@ -34,7 +34,7 @@ def test_stages_take_effect_one_after_the_other(spark):
 def test_every_query_runs(spark):
     import __spark_entry__ as entry
 
-    names = {f"op{n}" for n in range(1, 11)}
+    names = {f"op{n}" for n in range(1, 14)}
     assert names <= {q.split("_")[0] for q in entry.queries()} and "pipeline" in entry.queries()
     found = entry.queries()["op6_toxicity"](spark, SF).agg(F.count("*")).first()[0]
     assert found == read_table(spark, SF, "documents").count()
