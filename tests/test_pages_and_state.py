@@ -46,6 +46,18 @@ def test_pages_of_groups_ties_and_nulls(spark, tmp_path):
     assert pages.read_page(spark, str(tmp_path / "none"), order).count() == 0
 
 
+def test_small_ranges_are_not_a_file_each(spark, tmp_path):
+    path, order = str(tmp_path / "report"), [F.col("n").desc()]
+    rows = spark.range(5_000).select(((F.col("id") * 7919) % 4_999).alias("n"), (F.col("id") % 3).alias("kind"))
+    pages.write_pages(rows, order, path, by=["kind"], range_rows=10)
+    assert sum(f.endswith(".parquet") for _, _, files in os.walk(f"{path}/rows") for f in files) <= 8
+    assert spark.read.parquet(f"{path}/index").select("range_no").distinct().count() >= 500
+    for kind, number in ((0, 1), (1, 77), (2, 238), (2, 300)):
+        got = pages.read_page(spark, path, order, number, 7, {"kind": kind})
+        want = page(rows, [F.col("n").desc()], number, 7, by=["kind"]).where(F.col("kind") == kind)
+        assert sorted((r.n, r["rank"]) for r in got.collect()) == sorted((r.n, r["rank"]) for r in want.collect())
+
+
 def probes(spark, draw, n):
     address = lambda: draw.choice([None, *[f"10.0.{draw.randrange(3)}.{draw.randrange(12)}" for _ in range(9)]])
     rows = []
