@@ -327,17 +327,21 @@ def _relay_groups(t, members: DataFrame) -> DataFrame:
     """Distinct (r_id, f_id, forwarder_id): the forwarders behind each pair of identities.
 
     All addresses of an identity that are no forwarders share one pair, so its forwarders are listed
-    once, not once per address.
+    once, not once per address. The rows lie by forwarder, which callers join on next: one exchange serves both.
     """
     pairs = members.select("r_id", "f_id").distinct()
     by_resolver = t.forwarder_resolver_upstream.select("forwarder_id", F.col("upstream_resolver_id").alias("r_id"))
     by_forwarder = t.forwarder_forwarder_upstream.select("forwarder_id", F.col("upstream_forwarder_id").alias("f_id"))
     names = ["r_id", "f_id", "forwarder_id"]
-    return pairs.join(by_resolver, "r_id").select(*names).union(pairs.join(by_forwarder, "f_id").select(*names)).distinct()
+    found = pairs.join(by_resolver, "r_id").select(*names).union(pairs.join(by_forwarder, "f_id").select(*names))
+    return found.repartition("forwarder_id").distinct()
 
 
 def forwarder_relays(t) -> DataFrame:
-    """Per address: relaying forwarders, their networks, countries and transports."""
+    """Per address: relaying forwarders, their networks, countries and transports.
+
+    Networks and countries are counted as sets, as large as the world has of them at most: two counts of
+    distinct values would send every row three times."""
     wire = t.forwarder_protocol.groupBy("forwarder_id").agg(
         F.bool_or(F.lower("protocol") == "tcp").alias("_tcp"), F.bool_or(F.lower("protocol") == "udp").alias("_udp")
     )
@@ -350,8 +354,8 @@ def forwarder_relays(t) -> DataFrame:
     )
     counted = rows.groupBy("r_id", "f_id").agg(
         F.count(F.lit(1)).alias("forwarder_entry_count"),
-        F.count_distinct("asn").alias("forwarder_asn_count"),
-        F.count_distinct("country").alias("forwarder_country_count"),
+        F.size(F.collect_set("asn")).cast("bigint").alias("forwarder_asn_count"),
+        F.size(F.collect_set("country")).cast("bigint").alias("forwarder_country_count"),
         F.count_if("_tcp").alias("forwarder_tcp_count"),
         F.count_if("_udp").alias("forwarder_udp_count"),
         F.count_if(F.col("_tcp") & F.col("_udp")).alias("forwarder_tcp_udp_count"),
