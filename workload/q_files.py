@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -118,8 +119,9 @@ def _(t):
     """Orders as four micro-batches of resolver rows, merged into a table stored in buckets."""
     source, root, marks = (folder(t, n) for n in ("in", "tables", "marks"))
     rows = t.raw("orders").select(b.v4_text(rip(F.col("o_custkey") + 1000000)).alias("addr"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("seen"))
-    rows.repartition(4).write.parquet(source)
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    files = math.ceil(t.pieces("orders") / 4)  # of a micro-batch
+    rows.repartition(4 * files).write.parquet(source)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source)
     versions.write_versions(t.spark, root, {"resolver": Catalog(t.spark, root).resolver})
     versions.deal_into_buckets(t.spark, root, {"resolver": 8})
     job = lambda tables, batch: imports.import_resolvers(tables, batch, "ip:addr,last_update_ts:seen", "resolver", "stream", now=b.now(), v6=False)
