@@ -45,3 +45,40 @@ def test_roles_of_addresses(spark):
         want[r.queried_ip_lo] = tuple(a or b for a, b in zip(facts, want.get(r.queried_ip_lo, (False,) * 3)))
     got = {r.ip_lo: (r.is_public, r.is_forwarder, r.is_plain_forwarder) for r in scan.address_roles(rows, anycast).collect()}
     assert got == want
+
+
+def exchanges(spark, build):
+    """How many times a plan sends rows by key, with no table small enough to broadcast."""
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for name in kept:
+            spark.conf.set(name, "-1")
+        return build()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+
+
+def test_what_a_rule_finds_is_rolled_up_where_it_was_looked_up(spark):
+    census = spark.createDataFrame(CENSUS, "prefix string, AB_x int, GCD_x int")
+    feeds = scan.classify_scan(probes(spark, random.Random(6), 30), census)
+    # combinations of a task, the two sides of a lookup; backends look up the replying address before
+    assert exchanges(spark, feeds.public_resolvers) == 3
+    assert exchanges(spark, feeds.closed_from_transparent_reply) == 3
+    assert exchanges(spark, feeds.closed_from_transparent_backend) == 5
+
+
+def test_addresses_in_short_can_be_written_out_again(spark):
+    texts = ["10.0.1.3", "010.0.1.3", "::1", "no address", "", None]
+    rows = spark.createDataFrame([(t, *key) for t, key in zip(texts, [(4, 0, 167772419), (4, 0, 167772419), (6, 0, 1), *[(None,) * 3] * 3])],
+                                 "ip string, family tinyint, hi long, lo long")
+    named = [c for name in scan.ADDRESSES for c in (F.col("ip").alias(name), *[F.col(k).alias(f"{name}_{k}") for k in ("family", "hi", "lo")])]
+    short = scan.in_short(rows.select(*named))
+    assert [r.replying_ip for r in short.collect()] == [None, *texts[1:]]
+    assert [r.replying_ip for r in scan.in_short(short).collect()] == [None, *texts[1:]]
+    assert [r.replying_ip for r in scan.written_out(short).collect()] == texts
+
+
+def test_lines_of_the_scan_are_sent_once(spark, fx):
+    assert exchanges(spark, lambda: fx.scan) == 2
+    assert "Exchange RoundRobin" not in fx.scan._jdf.queryExecution().executedPlan().toString()
