@@ -68,6 +68,31 @@ def test_what_a_rule_finds_is_rolled_up_where_it_was_looked_up(spark):
     assert exchanges(spark, feeds.closed_from_transparent_backend) == 5
 
 
+def test_forwarders_are_sent_once_for_their_roll_up(spark):
+    census = spark.createDataFrame(CENSUS, "prefix string, AB_x int, GCD_x int")
+    feeds = scan.classify_scan(probes(spark, random.Random(7), 30), census).write_resolvers()
+    assert exchanges(spark, feeds.transparent_forwarders) == 1
+    # public ones: two sides of a lookup, the roll-up; closed ones: the resolvers, and the two sides without them
+    assert exchanges(spark, feeds.recursive_forwarders) == 6
+
+
+def test_a_snapshot_is_sent_once_to_join_the_state(spark, tmp_path, monkeypatch):
+    census = spark.createDataFrame(CENSUS, "prefix string, AB_x int, GCD_x int")
+    draw, seen, inner = random.Random(8), [], scan.write_versions
+
+    def spied(session, root, frames, *more):
+        seen.append(exchanges(spark, lambda: frames["scan_probes"]))
+        return inner(session, root, frames, *more)
+
+    monkeypatch.setattr(scan, "write_versions", spied)
+    for _ in range(2):
+        cuts = []
+        state = scan.add_snapshot(spark, str(tmp_path), probes(spark, draw, 40), census, cut=lambda df: cuts.append(df) or scan.materialise(df))
+        assert len(cuts) == 4  # the snapshot, and three tables of addresses; none of the merged state
+    assert seen == [1, 1]
+    assert state.probes.count() == state.probes.drop("timestamp_request").distinct().count()
+
+
 def test_addresses_in_short_can_be_written_out_again(spark):
     texts = ["10.0.1.3", "010.0.1.3", "::1", "no address", "", None]
     rows = spark.createDataFrame([(t, *key) for t, key in zip(texts, [(4, 0, 167772419), (4, 0, 167772419), (6, 0, 1), *[(None,) * 3] * 3])],
