@@ -76,6 +76,35 @@ def test_forwarders_are_sent_once_for_their_roll_up(spark):
     assert exchanges(spark, feeds.recursive_forwarders) == 6
 
 
+def test_resolvers_written_for_several_feeds_are_those_of_the_rules(spark):
+    census = spark.createDataFrame(CENSUS, "prefix string, AB_x int, GCD_x int")
+    rows, cuts = probes(spark, random.Random(10), 300), []
+    feeds = scan.classify_scan(rows, census)
+    written = scan.classify_scan(rows, census).write_resolvers(lambda df: cuts.append(df) or scan.materialise(df))
+    assert len(cuts) == 1
+    for feed in ("resolvers", "resolver_addresses"):
+        assert sorted(map(str, getattr(written, feed).collect())) == sorted(map(str, getattr(feeds, feed).collect()))
+    assert sorted(map(str, written.recursive_forwarders().collect())) == sorted(map(str, feeds.recursive_forwarders().collect()))
+    # the second feed starts from the written rows, not from the rules again
+    assert plan(written.resolver_addresses).count("Join") == 0 < plan(feeds.resolver_addresses).count("Join")
+
+
+def test_attributes_sent_as_one_text_come_back(spark):
+    texts = [None, "", "=", "~16", "~", "/16", "a\x01b", "\x02\x04", "\x02", "10.0.0.0/16", "10.0.0.0/016", "10.0.0.0/99", "1.2.0.0/16", "::/0"]
+    rows = spark.createDataFrame([(t, p, n) for t in texts for p in texts for n in (None, 5)], "text string, prefix string, asn long")
+    named = [F.lit("10.0.1.3"), F.lit(4).cast("tinyint"), F.lit(0).cast("long"), F.lit(167772419).cast("long")]
+    columns = {}
+    for name in scan.ADDRESSES:
+        columns |= {c: v for c, v in zip((name, *[f"{name}_{k}" for k in ("family", "hi", "lo")]), named)}
+        columns |= {f"{name}_asn": F.col("asn"), f"{name}_prefix": F.col("prefix"), f"{name}_org": F.col("text"), f"{name}_country": F.col("text")}
+    wide = scan.in_short(rows.withColumns({"resolver_type": F.col("text"), "protocol": F.col("text"), **columns}))
+    wide = wide.withColumn("timestamp_request", F.lit("2024-01-01").cast("timestamp"))
+    want = [str(tuple(r)) for r in scan.distinct_probes(wide).collect()]
+    got = scan.distinct_in_short(wide)
+    assert got.columns == scan.distinct_probes(wide).columns and got.count() == len(want)
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(want)
+
+
 def test_a_snapshot_is_sent_once_to_join_the_state(spark, tmp_path, monkeypatch):
     census = spark.createDataFrame(CENSUS, "prefix string, AB_x int, GCD_x int")
     draw, seen, inner = random.Random(8), [], scan.write_versions
